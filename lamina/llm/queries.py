@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +28,71 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op6_token_counts)}
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trips
 
-ORACLE_SQL: dict[str, str] = {}
+    return round_trips(table(spark, sf_dir, "documents"), PIECE_TOKENIZER)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: The rules that op8 judges by: (host, path, verdict).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+WITH rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+a AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^([^?#]*)', 1) AS part FROM a),
+c AS (SELECT page_id, regexp_extract(part, '^([^/]*)', 1) AS h0, part FROM b),
+p AS (SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(part, length(h0) + 1) AS path FROM c),
+m AS (SELECT p.*, rh || rp AS rule, v, row_number() OVER (PARTITION BY p.page_id ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC) AS k
+  FROM p LEFT JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_common_lines
+
+    out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key AS common FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON key = common GROUP BY doc_id
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_pieces, op4_language, op6_token_counts, op8_urls, op9_lines)}
+
+ORACLE_SQL: dict[str, str] = {"op8_urls": OP8_SQL, "op9_lines": OP9_SQL}
