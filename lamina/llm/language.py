@@ -18,7 +18,7 @@ BUCKETS_LOG2 = 13
 #: Bounds of the fitting sample: texts of a language (about), languages (the most frequent), centroids of a language.
 SAMPLE_PER_LANGUAGE, LANGUAGES, CENTROIDS = 400, 500, 4
 #: Share of the smallest cosine that a sample text has to its own language, below which a text is rejected.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
