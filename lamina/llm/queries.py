@@ -93,6 +93,36 @@ FROM k LEFT JOIN f ON key = common GROUP BY doc_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_pieces, op4_language, op6_token_counts, op8_urls, op9_lines)}
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
 
-ORACLE_SQL: dict[str, str] = {"op8_urls": OP8_SQL, "op9_lines": OP9_SQL}
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_main_text, op3_pieces, op4_language, op5_neighbours, op6_token_counts, op7_top_k, op8_urls, op9_lines)}
+
+ORACLE_SQL: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_urls": OP8_SQL, "op9_lines": OP9_SQL}
