@@ -6,9 +6,10 @@ import ast
 import json
 import operator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -155,15 +156,11 @@ def repartition(df: DataFrame, *spec: Any, sort: bool = True) -> DataFrame:
     n = s.partitions(df.count, current_parallelism(df.sparkSession))
     keys = [ref(c) for c in s.by]
     if s.algo == "even" and s.by:
-        groups = df.select(*keys).distinct()
-        groups = groups.persist()
+        groups = df.select(*[k.alias(f"__{i}") for i, k in enumerate(keys)]).distinct().persist()
         places = numbered(groups)
         count = n or max(1, groups.count())
-        same = None
-        for c in s.by:
-            match = df[c].eqNullSafe(places[c])
-            same = match if same is None else same & match
-        placed = df.join(places, same, "inner").select(*[df[c] for c in df.columns], (F.col("__at") % count).cast("int").alias("__to"))
+        same = reduce(Column.__and__, [k.eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
+        placed = df.join(places, same, "inner").select(*map(ref, df.columns), (F.col("__at") % count).cast("int").alias("__to"))
         out = placed.repartitionById(count, F.col("__to")).drop("__to")
     elif s.algo == "even" and n:
         out = numbered(df).withColumn("__to", (F.col("__at") % n).cast("int")).drop("__at").repartitionById(n, F.col("__to")).drop("__to")
