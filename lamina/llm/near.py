@@ -1,11 +1,14 @@
 """Near-duplicate classes by bottom-k sketches of word shingles, with exact verification.
 
-A text's sketch is its SKETCH smallest shingle hashes, all from one hash function. Two sets of Jaccard similarity 0.85
-share at least OVERLAP of SKETCH values but for a chance below 1e-7, so the values of a sketch that are rarest in the
-corpus, as many as SKETCH - OVERLAP + 1, cannot all miss the other sketch: only these enter the inverted lists.
+A text's sketch is its smallest shingle hashes, all from one hash function. Short sketches of all texts find those that
+share enough values with others; these get long sketches, which hold the whole set of a shorter text. Sets of Jaccard
+similarity 0.85 share a certain part of their sketches but for a chance below 1e-6 (whole sets: for certain), so of the
+values, ordered by rarity, a prefix cannot miss the other one: only prefixes enter the inverted lists, with each
+value's place, which bounds what two sets can share beyond it.
+
 A list is not expanded into pairs. Its most central member is compared with all others; lists whose members then lie in
 several components compare outliers with the rest, more of them in each round, until no two components share an
-unfinished list. Pairs pass the length filter and the union-sketch estimate; the full sets decide.
+unfinished list. Pairs pass the bounds on sizes and places and the union-sketch estimate; the full sets decide.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from .components import components
 from .shared import Sink, rows, stored, text_slices
 
 WORDS = 5
-#: Values of a sketch, and the share of them that similar sets have in common with near certainty.
-SKETCH, OVERLAP = 24, 0.375
-#: Least share of common values in the sketch of a union, at which a pair is verified.
-ESTIMATE = 0.4
-#: Outliers of a list that the first further round compares; four times as many in each later one.
-FIRST_OUTLIERS = 8
+#: Values of short and long sketches.
+SKETCH, LONG_SKETCH = 24, 256
+#: Standard deviations below its mean that a sample's share of common values is taken to reach at least.
+DEVIATIONS = 5.4
+#: Outliers of a list that the first further round compares; MORE_OUTLIERS times as many in each later one.
+FIRST_OUTLIERS, MORE_OUTLIERS = 256, 8
 
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -80,39 +83,62 @@ def jaccard_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), digest of the whole set (null if empty) and the sketch, ascending, of every row."""
+def sampled_share(percent: int, k: int) -> float:
+    """The least share of common values in a sample of k, of sets whose share is percent."""
+    p = percent / 100
+    return max(0.0, p - DEVIATIONS * (p * (1 - p) / k) ** 0.5)
+
+
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text) to doc_id, n (set size), digest of the whole set (null if empty) and its k smallest values, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Sink(SKETCHES)
         for key, text in rows(batches):
             s = shingles(text)
             digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            if sink.add(key, len(s), digest, s[:SKETCH].view(np.int64)):
+            # Flipping the sign bit makes the signed order agree with the unsigned one.
+            if sink.add(key, len(s), digest, (s[:k] ^ np.uint64(1 << 63)).view(np.int64), size=8 * k):
                 yield sink.batch()
         if sink.n:
             yield sink.batch()
 
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def _similar_sizes(percent: int) -> Column:
-    return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+def inverted_lists(nodes: DataFrame, least: Column, what: str) -> DataFrame:
+    """Prefixes of sketches, rarest values first: (v, node, n, size, place, central) for values that others hold too.
+
+    least is the number of values that a similar set must share with (n, size). A set's values that no other holds come
+    first, and only count for the places of the rest. central, the sum of all frequencies, is highest for a set whose
+    values many share.
+    """
+    values = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
+    shared = stored(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), f"{what}-values")
+    found = values.join(shared, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("found"), F.sum("df").alias("central"))
+    room = (F.size("found") - least + 1).cast("int")
+    prefix = found.where(room > 0).select("node", "n", "size", "central", (F.col("size") - F.size("found")).alias("alone"), F.posexplode(F.slice("found", 1, room)).alias("i", "f"))
+    return stored(prefix.select(F.col("f.v").alias("v"), "node", "n", "size", (F.col("alone") + F.col("i") + 1).alias("place"), "central"), what)
 
 
-def _order(v: Column) -> Column:
-    """Sketch values are unsigned; flipping the sign bit makes signed order agree."""
-    return v.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+def _can_be_similar(percent: int) -> Column:
+    """For (n, size, place) and (n2, size2, place2) of two sets at their first common value: whether sizes and what can
+    follow leave enough in common."""
+    whole = (F.col("n") <= LONG_SKETCH) & (F.col("n2") <= LONG_SKETCH)
+    exact = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    need = F.when(whole, exact).otherwise(F.ceil(F.least("size", "size2") * sampled_share(percent, LONG_SKETCH)))
+    reach = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) + 1
+    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (reach >= need)
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union's sketch holds enough common values. For sets smaller than a sketch this is exact."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose union's sketch holds enough common values; exact where the union is no larger than a sketch."""
     sides = [nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.where(common >= ESTIMATE * F.size(union)).select("a", "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, LONG_SKETCH)
+    met = both.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("c"))
+    enough = F.when(F.col("u") < LONG_SKETCH, F.col("c") * 100 >= F.col("u") * percent).otherwise(F.col("c") >= F.col("u") * sampled_share(percent, LONG_SKETCH))
+    return met.where(enough).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -150,56 +176,64 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     """
     if percent < 80:
         raise ValueError("the sketch is laid out for similarities of 0.8 and more")
-    known = stored(sketches(docs, id_col, text_col), "sketches")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    known = stored(sketches(texts, SKETCH), "sketches")
     made = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(made.withColumn("sketch", F.transform("sketch", _order)), "classes")
+    classes = stored(made, "classes")
     nodes = classes.where("node IS NOT NULL").select("node", "n", "sketch")
 
-    values = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    shared = stored(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
-    # A set's values that no other holds come first in the order by rarity; what is left of the prefix is kept here.
-    listed = values.join(shared, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("found"), F.sum("df").alias("central"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("size") * OVERLAP))
-    room = F.size("found") - least + 1
-    prefix = listed.where(room > 0).select("node", "n", "central", F.explode(F.slice("found", 1, room.cast("int"))).alias("f"))
-    members = stored(prefix.select("node", "n", "central", F.col("f.v").alias("v")), "lists")
-    hubs = stored(members.groupBy("v").agg(F.max(F.struct("central", F.col("node").alias("b"), F.col("n").alias("n2"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("v", "hub.b", "hub.n2"), "hubs")
-
-    def evaluated(met: DataFrame, tried: DataFrame | None) -> DataFrame:
+    # Short sketches tell which sets can have partners at all; from here on only these count.
+    least = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("size") * sampled_share(percent, SKETCH)))
+    short = inverted_lists(nodes, least, "short-lists")
+    met = short.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    wanted = stored(short.join(stored(met, "met"), "v", "left_semi").select("node").distinct(), "wanted", short.count())
+    texts = stored(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), "texts")
+    nodes = stored(sketches(texts.withColumnRenamed("node", "doc_id"), LONG_SKETCH).where("n > 0").select(F.col("doc_id").alias("node"), "n", "sketch"), "long-sketches")
+
+    least = F.when(F.col("n") <= LONG_SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("size") * sampled_share(percent, LONG_SKETCH)))
+    listed = inverted_lists(nodes, least, "long-lists")
+    second = [F.col(c).alias(f"{c}2") for c in ("n", "size", "place")]
+    hubs = listed.groupBy("v").agg(F.max(F.struct("central", F.col("node").alias("b"), *second)).alias("hub"), F.count("*").alias("m"))
+    hubs = stored(hubs.where("m > 1").select("v", *(f"hub.{c}" for c in ("b", "n2", "size2", "place2"))), "hubs", listed.count())
+    lists = stored(listed.join(hubs.select("v"), "v", "left_semi").select("v", F.col("node").alias("a"), "n", "size", "place"), "lists", listed.count())
+    n_rows = lists.count()
+
+    def evaluated(met: DataFrame, tried: DataFrame | None, rows: int) -> DataFrame:
         """The distinct pairs (a, b) of rows that met in a list and are worth verifying."""
-        fresh = met.where((F.col("a") != F.col("b")) & _similar_sizes(percent)).select("a", "b").distinct()
+        fresh = met.select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        return stored(_estimated(fresh, nodes), "pairs")
+        return stored(_estimated(fresh, nodes, percent), "pairs", rows)
 
-    wanted = stored(members.join(hubs.select("v"), "v", "left_semi").select("node").distinct(), "wanted")
-    texts = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("string").alias("text"))
-    texts = stored(texts.join(wanted, "node", "left_semi"), "texts")
-    lists = members.withColumnRenamed("node", "a")
-    pairs = evaluated(lists.join(hubs, "v"), None)
+    meets = (F.col("a") != F.col("b")) & _can_be_similar(percent)
+    pairs = evaluated(lists.join(hubs, "v").where(meets), None, n_rows)
     links = stored(_verified(pairs, texts, percent), "links")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found, done, outliers = components(links), None, FIRST_OUTLIERS
     while True:
-        own = lists.join(found.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left").select("v", "a", "n", F.coalesce("own", "a").alias("own"))
-        own = stored(own, "labelled-lists")
+        own = lists.join(found.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left").select("v", "a", "n", "size", "place", F.coalesce("own", "a").alias("own"))
+        own = stored(own, "labelled-lists", n_rows)
         sizes = own.groupBy("v", "own").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "own")).alias("most"), F.count("*").alias("parts"))
-        split = stored(sizes.where("parts > 1").select("v", F.col("most.own").alias("main")), "open-lists")
-        apart = own.join(split, "v").where("own <> main")
+        split = stored(sizes.where("parts > 1").select("v", F.col("most.own").alias("main")), "open-lists", n_rows)
+        own = own.join(split, "v")
+        apart = own.where("own <> main")
         if done is not None:
             apart = apart.join(done.withColumnRenamed("b", "a"), ["v", "a"], "left_anti")
-        chosen = apart.groupBy("v", F.pmod(F.xxhash64("a"), F.lit(outliers)).alias("slot")).agg(F.min(F.struct(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"))).alias("o"))
-        chosen = stored(chosen.select("v", "o.*"), "outliers")
+        chosen = apart.groupBy("v", F.pmod(F.xxhash64("a"), F.lit(outliers)).alias("slot")).agg(F.min(F.struct(F.col("a").alias("b"), *second, F.col("own").alias("own2"))).alias("o"))
+        chosen = stored(chosen.select("v", "o.*"), "outliers", n_rows)
         if chosen.isEmpty():
             break
         done = chosen.select("v", "b") if done is None else done.union(chosen.select("v", "b"))
-        pairs = evaluated(own.join(chosen, "v").where("own <> own2"), tried)
+        pairs = evaluated(own.join(chosen, "v").where(meets & (F.col("own") != F.col("own2"))), tried, n_rows)
         tried = tried.union(pairs)
-        more = stored(_verified(pairs, texts, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-        outliers *= 4
+        if not pairs.isEmpty():
+            more = stored(_verified(pairs, texts, percent), "links")
+            if not more.isEmpty():
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        # Lists that are in one piece stay so, and need no further look.
+        lists = stored(own.select("v", "a", "n", "size", "place"), "lists", n_rows)
+        n_rows = lists.count()
+        outliers *= MORE_OUTLIERS
     return _result(known, classes, found)
 
 

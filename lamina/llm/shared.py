@@ -29,9 +29,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lamina/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: the lineage ends there and a lost executor costs nothing."""
+#: Rows for each task that writes a table whose number of rows is known to have a bound, and the fewest such tasks.
+ROWS_PER_TASK, FEWEST_TASKS = 50_000, 6
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: the lineage ends there and a lost executor costs nothing.
+
+    rows, a bound or good guess of the number of rows, keeps a small table from becoming hundreds of tiny files; large
+    ones are written by as many tasks as they have partitions.
+    """
     path = scratch(df.sparkSession, what)
+    if rows is not None:
+        tasks = max(FEWEST_TASKS, -(-rows // ROWS_PER_TASK))
+        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
