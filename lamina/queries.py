@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -554,3 +556,84 @@ for _name, _text, _sql, *_tables in (
 ):
     QUERIES[_name] = _script(_text, *_tables)
     ORACLE_SQL[_name] = _sql
+
+
+# Files, tables, placement and pipelines; copies go to the shared folder
+
+
+def _scratch(spark, name: str) -> str:
+    """A new path where all executors can write: below spark.checkpoint.dir, or a local folder where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamina-")
+    return f"{base.rstrip('/')}/lamina/{uuid.uuid4().hex}/{name}"
+
+
+_SUPPLIERS = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+
+
+@query(_SUPPLIERS)
+def io_csv(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    path = _scratch(spark, "s.csv")
+    api.save(rows, path, header=True)
+    return api.load(spark, path, header=True, columns="s_suppkey:long,s_name:str,s_nationkey:int,s_acctbal:double")
+
+
+@query(_SUPPLIERS)
+def io_json(spark, sf_dir):
+    path = _scratch(spark, "s.json")
+    api.save(table(spark, sf_dir, "supplier"), path)
+    return api.load(spark, path, columns="s_suppkey:long,s_name:str,s_nationkey:int,s_acctbal:double")
+
+
+@query(_SUPPLIERS)
+def io_single_file(spark, sf_dir):
+    return api.save_and_use(table(spark, sf_dir, "supplier"), _scratch(spark, "s.parquet"), force_single=True)
+
+
+@query(_SUPPLIERS + " WHERE s_nationkey = 3")
+def io_partitioned(spark, sf_dir):
+    path = _scratch(spark, "s")
+    api.save(table(spark, sf_dir, "supplier"), path, "parquet", partition={"by": ["s_nationkey"], "num": 4})
+    return api.filter(api.load(spark, path, "parquet", columns="s_suppkey:long,s_name:str,s_nationkey:int,s_acctbal:double"), col("s_nationkey") == 3)
+
+
+@query("SELECT count(*) AS n FROM nation")
+def io_table(spark, sf_dir):
+    name = f"lamina_{uuid.uuid4().hex}"
+    api.save_table(table(spark, sf_dir, "nation"), name)
+    return api.select(api.load_table(spark, name), f.count("*").alias("n"))
+
+
+@query("SELECT 7 AS parts, count(*) AS n FROM orders")
+def repartition_even(spark, sf_dir):
+    rows = api.repartition(api.select_columns(table(spark, sf_dir, "orders"), ["o_orderkey"]), {"num": 7, "algo": "even"})
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).count()
+    return sizes.agg(F.count("*").alias("parts"), F.sum("count").alias("n"))
+
+
+@query("SELECT count(DISTINCT o_orderpriority) AS parts, count(DISTINCT o_orderpriority) AS keys FROM orders")
+def repartition_by_key(spark, sf_dir):
+    rows = api.repartition(api.select_columns(table(spark, sf_dir, "orders"), ["o_orderpriority"]), {"by": ["o_orderpriority"], "algo": "even"})
+    placed = rows.withColumn("p", F.spark_partition_id())
+    return placed.agg(F.count_distinct("p").alias("parts"), F.count_distinct("p", "o_orderpriority").alias("keys"))
+
+
+@query("SELECT o_custkey, sum(o_totalprice) > 500000 AS big FROM orders GROUP BY 1")
+def flow_pipeline(spark, sf_dir):
+    flow = api.Flow(checkpoint_path=_scratch(spark, "flow"), auto_persist=False)
+    orders = flow.load(f"{sf_dir}/orders.parquet", columns=["o_custkey", "o_totalprice"]).deterministic_checkpoint()
+    totals = orders.partition_by("o_custkey").aggregate(total=f.sum("o_totalprice"))
+    totals.assign(big=col("total") > 500000)[["o_custkey", "big"]].yield_dataframe_as("out")
+    return flow.run(spark)["out"]
+
+
+@query("SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1")
+def transform_callback(spark, sf_dir):
+    """Workers call the driver once a key; a repeated task would repeat its call, so the last word of a key counts."""
+    told: dict[int, int] = {}
+    api.out_transform(api.select(table(spark, sf_dir, "supplier"), col("s_nationkey", "k")), _tell, partition="k", callback=told.__setitem__)
+    return frame(spark, sorted(map(list, told.items())), "k:int,n:long")
+
+
+def _tell(rows: list[list[Any]], say: Callable) -> None:
+    say(rows[0][0], len(rows))
