@@ -107,7 +107,8 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame, least: Column, what: str) -> DataFrame:
-    """Prefixes of sketches, rarest values first: (v, node, n, size, place, central) for values that others hold too.
+    """Prefixes of sketches, rarest values first: (v, node, n, size, place, before, central) for values that others hold
+    too; before are the set's values in the lists before this one.
 
     least is the number of values that a similar set must share with (n, size). A set's values that no other holds come
     first, and only count for the places of the rest. central, the sum of all frequencies, is highest for a set whose
@@ -117,8 +118,10 @@ def inverted_lists(nodes: DataFrame, least: Column, what: str) -> DataFrame:
     shared = stored(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), f"{what}-values")
     found = values.join(shared, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("found"), F.sum("df").alias("central"))
     room = (F.size("found") - least + 1).cast("int")
-    prefix = found.where(room > 0).select("node", "n", "size", "central", (F.col("size") - F.size("found")).alias("alone"), F.posexplode(F.slice("found", 1, room)).alias("i", "f"))
-    return stored(prefix.select(F.col("f.v").alias("v"), "node", "n", "size", (F.col("alone") + F.col("i") + 1).alias("place"), "central"), what)
+    alone = (F.col("size") - F.size("found")).alias("alone")
+    prefix = found.where(room > 0).select("node", "n", "size", "central", alone, F.slice("found.v", 1, room).alias("all"))
+    prefix = prefix.select("*", F.posexplode("all").alias("i", "v"))
+    return stored(prefix.select("v", "node", "n", "size", (F.col("alone") + F.col("i") + 1).alias("place"), F.slice("all", F.lit(1), F.col("i")).alias("before"), "central"), what)
 
 
 def _can_be_similar(percent: int) -> Column:
@@ -192,10 +195,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
 
     least = F.when(F.col("n") <= LONG_SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("size") * sampled_share(percent, LONG_SKETCH)))
     listed = inverted_lists(nodes, least, "long-lists")
-    second = [F.col(c).alias(f"{c}2") for c in ("n", "size", "place")]
-    hubs = listed.groupBy("v").agg(F.max(F.struct("central", F.col("node").alias("b"), *second)).alias("hub"), F.count("*").alias("m"))
+    second = [F.col(c).alias(f"{c}2") for c in ("n", "size", "place", "before")]
+    hubs = listed.groupBy("v").agg(F.max(F.struct("central", F.col("node").alias("b"), *second[:3])).alias("hub"), F.count("*").alias("m"))
     hubs = stored(hubs.where("m > 1").select("v", *(f"hub.{c}" for c in ("b", "n2", "size2", "place2"))), "hubs", listed.count())
-    lists = stored(listed.join(hubs.select("v"), "v", "left_semi").select("v", F.col("node").alias("a"), "n", "size", "place"), "lists", listed.count())
+    lists = stored(listed.join(hubs.select("v"), "v", "left_semi").select("v", F.col("node").alias("a"), "n", "size", "place", "before"), "lists", listed.count())
     n_rows = lists.count()
 
     def evaluated(met: DataFrame, tried: DataFrame | None, rows: int) -> DataFrame:
@@ -211,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found, done, outliers = components(links), None, FIRST_OUTLIERS
     while True:
-        own = lists.join(found.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left").select("v", "a", "n", "size", "place", F.coalesce("own", "a").alias("own"))
+        own = lists.join(found.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left").select("v", "a", "n", "size", "place", "before", F.coalesce("own", "a").alias("own"))
         own = stored(own, "labelled-lists", n_rows)
         sizes = own.groupBy("v", "own").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "own")).alias("most"), F.count("*").alias("parts"))
         split = stored(sizes.where("parts > 1").select("v", F.col("most.own").alias("main")), "open-lists", n_rows)
@@ -224,14 +227,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
         if chosen.isEmpty():
             break
         done = chosen.select("v", "b") if done is None else done.union(chosen.select("v", "b"))
-        pairs = evaluated(own.join(chosen, "v").where(meets & (F.col("own") != F.col("own2"))), tried, n_rows)
+        # Two sets meet in the list of their first common value alone.
+        first = ~F.arrays_overlap("before", "before2")
+        pairs = evaluated(own.join(chosen, "v").where(meets & (F.col("own") != F.col("own2")) & first), tried, n_rows)
         tried = tried.union(pairs)
         if not pairs.isEmpty():
             more = stored(_verified(pairs, texts, percent), "links")
             if not more.isEmpty():
                 found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         # Lists that are in one piece stay so, and need no further look.
-        lists = stored(own.select("v", "a", "n", "size", "place"), "lists", n_rows)
+        lists = stored(own.select("v", "a", "n", "size", "place", "before"), "lists", n_rows)
         n_rows = lists.count()
         outliers *= MORE_OUTLIERS
     return _result(known, classes, found)
