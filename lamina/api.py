@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import expressions as f  # noqa: F401
 from .functions.expressions import agg_function, all_cols, col, function, lit, null
 
-from .operators.extensions import cotransformer, creator, output_cotransformer, output_transformer, outputter, processor, register_creator, register_outputter, register_output_transformer, register_processor, register_transformer, transformer
+from .operators.extensions import CoTransformer, Creator, OutputCoTransformer, Outputter, OutputTransformer, Processor, Transformer  # noqa: F401
+from .operators.extensions import cotransformer, creator, module, output_cotransformer, output_transformer, outputter, processor  # noqa: F401
+from .operators.extensions import register, register_creator, register_module, register_output_transformer, register_outputter, register_parser, register_processor, register_transformer, transformer  # noqa: F401
+from .operators.frames import EmptyAwareIterable, Frames  # noqa: F401
 from .operators.joins import anti_join, broadcast, cross_join, full_outer_join, inner_join, intersect, join, left_outer_join, right_outer_join, semi_join, set_op, subtract, union
 from .operators.output import as_array, as_array_iterable, as_dict_iterable, as_dicts, assert_eq, assert_not_eq, frame, head, peek_array, peek_dict, show
 from .operators.partition import PartitionSpec, current_parallelism, partition_spec, persist, repartition
 from .operators.relational import aggregate, alter_columns, assign, distinct, drop_columns, dropna, fillna, filter, normalize_column_names, rename, sample, select, select_columns, take  # noqa: A004
-from .operators.udf import cotransform, out_cotransform, out_transform, transform, zip_frames
+from .operators.udf import PartitionCursor, cotransform, out_cotransform, out_transform, transform, zip_frames  # noqa: F401
 from .plans.flow import Flow
 from .plans.sql import raw_sql, xsql, xsql_flow
 from .schema import format_schema, parse_schema, transform_schema
 from .sources.io import load, load_table, save, save_and_use, save_table, table_exists
+from .streaming.windows import sessions, windowed  # noqa: F401
 
 _sessions: list[SparkSession] = []
 _global: list[SparkSession] = []

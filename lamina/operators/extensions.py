@@ -210,6 +210,15 @@ def outputter(**rules: Any) -> Callable[[Callable], Callable]:
     return _marked("outputter", None, **rules)
 
 
+def module(fn: Callable) -> Callable:
+    """A function that lays out a part of a pipeline; SUB calls it by its name."""
+    return _marked("module")(fn)
+
+
+def register_module(name: str, fn: Callable, overwrite: bool = True) -> None:
+    register("module", name, fn, overwrite)
+
+
 def directives(fn: Any) -> dict[str, str]:
     """The directives "# schema: ..." and rules in the comment lines above a function; the last of a kind counts."""
     try:

@@ -1,4 +1,4 @@
-"""The registered queries of the reference operators and their SQL twins."""
+"""The registered queries of the relational layer and their SQL twins."""
 
 from __future__ import annotations
 

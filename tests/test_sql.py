@@ -23,6 +23,7 @@ def joined(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y, "a")
 
 
+@api.module
 def merge(flow, a, b, k=""):
     return {"j": a.inner_join(b), k: a}
 
