@@ -2,7 +2,7 @@
 
 A text's sketch is its smallest shingle hashes, all from one hash function. Short sketches of all texts find those that
 share enough values with others; these get long sketches, which hold the whole set of a shorter text. Sets of Jaccard
-similarity 0.85 share a certain part of their sketches but for a chance below 1e-6 (whole sets: for certain), so of the
+similarity 0.85 share a certain part of their sketches but for a chance of about 1e-6 (both whole: for certain), so of the
 values, ordered by rarity, a prefix cannot miss the other one: only prefixes enter the inverted lists, with each
 value's place, which bounds what two sets can share beyond it.
 
@@ -13,6 +13,7 @@ unfinished list. Pairs pass the bounds on sizes and places and the union-sketch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,18 @@ def sampled_share(percent: int, k: int) -> float:
     return max(0.0, p - DEVIATIONS * (p * (1 - p) / k) ** 0.5)
 
 
+def least_common(percent: int, k: int) -> Column:
+    """The least number of values that the sketches of k values of a set of n shingles and of any similar set share.
+
+    A similar set has up to n * 100 / percent shingles. Only if a sketch holds that many are both sets whole, and the
+    count exact; else the partner's sketch may be cut, and the k smallest values of the union, which both sketches hold
+    as far as the sets share them, are a sample.
+    """
+    whole = F.ceil(F.col("n") * percent / 100)
+    cut = F.lit(math.ceil(k * sampled_share(percent, k)))
+    return F.when(F.floor(F.col("n") * 100 / percent) <= k, whole).when(F.col("n") <= k, F.least(whole, cut)).otherwise(cut)
+
+
 def sketches(texts: DataFrame, k: int) -> DataFrame:
     """(doc_id, text) to doc_id, n (set size), digest of the whole set (null if empty) and its k smallest values, ascending."""
 
@@ -186,15 +199,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     nodes = classes.where("node IS NOT NULL").select("node", "n", "sketch")
 
     # Short sketches tell which sets can have partners at all; from here on only these count.
-    least = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("size") * sampled_share(percent, SKETCH)))
-    short = inverted_lists(nodes, least, "short-lists")
+    short = inverted_lists(nodes, least_common(percent, SKETCH), "short-lists")
     met = short.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
     wanted = stored(short.join(stored(met, "met"), "v", "left_semi").select("node").distinct(), "wanted", short.count())
     texts = stored(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), "texts")
     nodes = stored(sketches(texts.withColumnRenamed("node", "doc_id"), LONG_SKETCH).where("n > 0").select(F.col("doc_id").alias("node"), "n", "sketch"), "long-sketches")
 
-    least = F.when(F.col("n") <= LONG_SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("size") * sampled_share(percent, LONG_SKETCH)))
-    listed = inverted_lists(nodes, least, "long-lists")
+    listed = inverted_lists(nodes, least_common(percent, LONG_SKETCH), "long-lists")
     second = [F.col(c).alias(f"{c}2") for c in ("n", "size", "place", "before")]
     hubs = listed.groupBy("v").agg(F.max(F.struct("central", F.col("node").alias("b"), *second[:3])).alias("hub"), F.count("*").alias("m"))
     hubs = stored(hubs.where("m > 1").select("v", *(f"hub.{c}" for c in ("b", "n2", "size2", "place2"))), "hubs", listed.count())

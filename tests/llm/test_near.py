@@ -94,6 +94,19 @@ def test_other_share(spark):
         near_duplicates(frame(spark, texts), percent=50)
 
 
+@pytest.mark.parametrize("percent,sizes", [(85, [(28, 32), (260, 305), (260, 304), (258, 302)]), (80, [(24, 29), (28, 34), (260, 324)])])
+def test_a_sketch_that_just_holds_a_set(spark, percent, sizes):
+    """One set fits its sketch, its partner does not: the text and the same with more words at its end."""
+    rng, texts = random.Random(17), {}
+    for short, long in sizes:
+        for _ in range(24):
+            words = prose(rng, long, 10**9)
+            texts |= {len(texts): " ".join(words[:short]), len(texts) + 1: " ".join(words)}
+    want = brute_force(texts, percent)
+    assert sum(kept for _, _, kept in want.values()) == len(texts) / 2
+    assert outcome(near_duplicates(frame(spark, texts), percent=percent)) == want
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(None, "p q r s t u"), (5, "p q r s t u"), (5, "p q r s t u"), (7, None), (None, None), (None, "only here")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
