@@ -86,7 +86,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     """query_id, rank, vec_id, score: the k nearest found of each query but itself, by Euclidean distance in doubles.
 
     Lists above one and a half times the mean size are split into shards by the hash of vec_id, and queries come in
-    blocks, so a task's group is bounded also where one list holds a third of all vectors. Nothing is broadcast but the
+    blocks, so a task's group is bounded also where one list holds a third of all vectors. A query visits probe_share of
+    the lists, and further ones, by nearness, until these hold k candidates. Nothing is broadcast but the
     fitted centroids and code books, whose size is bounded.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
@@ -120,15 +121,20 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     shard_of = F.element_at(F.array(*[F.lit(s) for s in shards]), F.col("list") + 1)
     salted = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shard_of).cast("int"))
 
+    most_own = kept.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (model.centroids**2).sum(axis=1) / 2
-        filled = np.array([sizes.get(i, 0) > 0 for i in range(n_lists)])
+        held = np.array([sizes.get(i, 0) for i in range(n_lists)])
+        filled = held > 0
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 near = np.where(filled, half - matrix(b.column(1), d) @ model.centroids.T, np.inf)
-                chosen = np.argsort(near, axis=1, kind="stable")[:, :probes]
-                pairs = [(i, c, s) for i, row in enumerate(chosen) for c in row if filled[c] for s in range(shards[c])]
+                order = np.argsort(near, axis=1, kind="stable")
+                # Lists beyond the share are visited while those before them may hold fewer than k rows besides the query's.
+                chosen = (np.cumsum(held[order], axis=1) - held[order] < k + most_own) | (np.arange(n_lists) < probes)
+                pairs = [(i, c, s) for i, row in enumerate(order) for c in row[chosen[i]] if filled[c] for s in range(shards[c])]
                 yield pa.RecordBatch.from_arrays([*(pa.array([p[j] for p in pairs], pa.int32()) for j in (1, 2)), *(b.column(j).take(pa.array([p[0] for p in pairs], pa.int64())) for j in (0, 1))], names=["list", "shard", "query_id", "v"])
 
     n_asked = asked.count()

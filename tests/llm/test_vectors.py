@@ -98,3 +98,13 @@ def test_asymmetric_distances():
     guess = model.distances(x[:1], lists[0], codes[own])[0]
     books = np.stack([model.books[j][codes[own][:, j]] for j in range(3)], axis=1).reshape(own.sum(), -1)[:, :10]
     assert np.allclose(guess, ((x[0] - model.centroids[lists[0]] - books) ** 2).sum(axis=1))
+
+
+def test_few_candidates_in_the_nearest_lists(spark):
+    """All but three vectors are copies of a far one, in a list that the share of the lists does not reach."""
+    rows = [(i, [0.0, 1.0 + i], "") for i in range(3)] + [(i, [900.0, 900.0], "") for i in range(3, 1000)]
+    df = spark.createDataFrame(rows + [(0, [0.0, 1.0], "")], SCHEMA).repartition(3)
+    got = sorted((r["rank"], r.vec_id) for r in search(df, df.where("vec_id = 1")).collect())
+    assert [i for _, i in got] == [0, 0, 2, *range(3, 10)]
+    once = sorted((r["rank"], r.vec_id) for r in search(df, df.where("vec_id = 0").limit(1)).collect())
+    assert [i for _, i in once] == [1, 2, *range(3, 11)]
