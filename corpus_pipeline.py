@@ -30,10 +30,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id, stays."""
-    docs = docs.select(*COLUMNS)
-    gone = stored(near_duplicates(docs, percent=85).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates, that with the smallest id, stays.
+
+    Where ids are null or repeated they cannot tell rows apart: rows then get numbers in the order of ids, nulls last.
+    """
+    docs, key = docs.select(*COLUMNS), "doc_id"
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        key, order = "row", [F.asc_nulls_last("doc_id"), F.md5("text"), "place"]  # the last two only spread equal ids
+        ordered = docs.withColumn("place", F.monotonically_increasing_id()).orderBy(*order)
+        docs = stored(ordered.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    gone = stored(near_duplicates(docs, percent=85, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

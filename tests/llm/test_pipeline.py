@@ -40,3 +40,13 @@ def test_stages(spark):
         total[r.doc_id] += r.length
     assert set(total) == left and all(total[r.doc_id] == r.doc_tokens for r in pieces)
     assert pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.skipif(pipeline is None, reason="the pipeline is not there")
+def test_near_duplicates_go_by_row(spark):
+    """Null ids and rows that share one: copies go, whatever their id, and other texts of the same id stay."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (7, a), (None, a), (3, a), (5, a + " more"), (5, b), (9, a), (9, c), (None, d), (None, d), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert Counter(got) == Counter([(3, a), (5, b), (9, c), (None, d), (None, None), (None, "")])
