@@ -19,8 +19,8 @@ from .wordbpe import word_bpe
 
 #: Tokens of a shard, after which a document starts the next one.
 SHARD_TOKENS = 2_000_000
-#: Terms of a seed that ask the index, by weight, and neighbours that one request returns.
-QUERY_TERMS, NEIGHBOURS = 24, 16
+#: Neighbours that a seed's first request returns; each further one returns twice as many.
+NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -49,19 +49,25 @@ class Bm25Shard:
         self.ptr = np.concatenate([[0], np.cumsum(df)])
         self.unused = np.ones(n, bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share weighty terms with the seed, best first; ties go to the earlier document."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all documents, by all terms of the seed."""
         lo, hi = self.at[seed], self.at[seed + 1]
-        asked = self.asked[lo:hi]
-        best = np.argpartition(-asked, QUERY_TERMS)[:QUERY_TERMS] if hi - lo > QUERY_TERMS else np.arange(hi - lo)
-        score = np.zeros(len(self.unused))
-        for t in self.terms[lo + best[asked[best] > 0]]:
-            a, b = self.ptr[t], self.ptr[t + 1]
-            score[self.docs[a:b]] += self.impact[a:b]
+        terms = self.terms[lo:hi][self.asked[lo:hi] > 0]
+        parts = [slice(a, b) for a, b in zip(self.ptr[terms].tolist(), self.ptr[terms + 1].tolist(), strict=True)]
+        if not parts:
+            return np.zeros(len(self.unused))
+        return np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.impact[p] for p in parts]), len(self.unused))
+
+    def best(self, score: np.ndarray, most: int) -> np.ndarray:
+        """Unused documents of the highest scores above 0, best first; ties go to the earlier document."""
         score[~self.unused] = 0
-        top = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
+        least = np.partition(score, -most)[-most] if len(score) > most else 0
+        top = np.flatnonzero((score >= least) & (score > 0))
+        return top[np.lexsort((top, -score[top]))][:most]
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """The first unused documents that share terms with the seed."""
+        return self.best(self.scores(seed), NEIGHBOURS)
 
 
 class Packer:
@@ -105,20 +111,21 @@ class Packer:
 
     def shard(self, keys: list, docs: list[np.ndarray]) -> Iterator[tuple]:
         index, ahead = Bm25Shard(docs), 0
-        wanted, seed = [], -1
+        wanted, score, most = [], None, NEIGHBOURS
         while True:
             while ahead < len(docs) and not index.unused[ahead]:
                 ahead += 1
             wanted = [d for d in wanted if index.unused[d]]
+            if not wanted and score is not None:  # the window is not full: the same seed's next neighbours
+                wanted, most = list(index.best(score, most)), 2 * most
             if not wanted and ahead == len(docs):
                 return
+            fresh = not wanted or len(docs[wanted[0]]) > self.window - self.filled
             doc = wanted.pop(0) if wanted else ahead
-            fresh = doc == ahead and not wanted or len(docs[doc]) > self.window - self.filled
             index.unused[doc] = False
             yield from self.put(keys[doc], docs[doc])
             if fresh or not self.open:  # it opened this window: its neighbours come next
-                seed = doc
-                wanted = list(index.neighbours(seed)) if self.open else []
+                wanted, most, score = [], NEIGHBOURS, index.scores(doc) if self.open else None
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = False, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

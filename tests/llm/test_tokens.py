@@ -227,3 +227,20 @@ def test_windows_hold_neighbours(spark):
     for r in rows:
         by[r.sequence_id][r.doc_id % 3] += r.length
     assert np.mean([max(c.values()) / sum(c.values()) for c in by.values()]) > 0.8
+
+
+def test_a_seed_fills_its_window(spark):
+    """Short documents about one thing, far more than one request returns, meet in whole windows."""
+    topics = [["red", "rose", "leaf"], ["steel", "bolt", "gear"], ["wave", "tide", "boat"]]
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(topics[i % 3]) for _ in range(19)) for i in range(1500)}
+    by = defaultdict(Counter)
+    for r in pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), WORD).collect():
+        by[r.sequence_id][r.doc_id % 3] += r.length
+    assert np.mean([max(c.values()) / sum(c.values()) > 0.99 for c in by.values()]) > 0.5
+
+
+def test_all_terms_of_a_seed_ask():
+    seed = np.repeat(np.arange(30, dtype=np.uint32), 2)
+    docs = [seed, *(np.array([t, 100 + t], np.uint32) for t in range(30))]
+    assert np.count_nonzero(Bm25Shard(docs).scores(0)[1:]) == 30
