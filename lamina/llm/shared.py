@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a Python worker handles at once; longer texts are cut at white space.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker (and a row more, be it longer).
+BATCH_BYTES = "4m"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where that is unset, as in tests) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and Spark runs on
+    this machine alone, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,7 +50,23 @@ def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
         if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(tasks)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing which is still to run reads."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches are kept to BATCH_BYTES in its session, unless that has set a size itself: long texts must
+    not meet in one batch."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def remove(spark: SparkSession, path: str) -> None:

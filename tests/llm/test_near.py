@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -5,8 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from lamina.llm import near
 from lamina.llm.components import components
-from lamina.llm.near import jaccard_reaches, near_duplicates, shingles
+from lamina.llm.near import LOSS, STEPS, jaccard_reaches, least_sampled, near_duplicates, shingles
 
 SCHEMA = "doc_id long, text string, node string, n int"
 
@@ -81,7 +83,7 @@ def corpus():
 def test_against_brute_force(spark):
     texts = corpus()
     want = brute_force(texts)
-    assert outcome(near_duplicates(frame(spark, texts))) == want
+    assert outcome(near_duplicates(frame(spark, texts), percent=85)) == want
     assert len({c for _, c, _ in want.values()}) < len(want) - 60
 
 
@@ -107,6 +109,67 @@ def test_a_sketch_that_just_holds_a_set(spark, percent, sizes):
     assert outcome(near_duplicates(frame(spark, texts), percent=percent)) == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_around_the_size_of_a_sketch(spark, percent):
+    """Added, cut and scattered words at random sizes on both sides of either sketch's size."""
+    rng, texts = random.Random(percent), {}
+    for low, high in ((20, 40), (230, 420)):
+        for _ in range(60):
+            words = prose(rng, rng.randint(low, high), 10**9)
+            n = len(words) - 4
+            more = rng.randint(0, max(1, int(n * (100 / percent - 1))))
+            part = rng.randint(0, more)
+            for other in (words, words + prose(rng, more, 10**9), prose(rng, part, 10**9) + words + prose(rng, more - part, 10**9), words[: max(1, len(words) - more)], edited(words, rng, max(1, more // 6))):
+                texts[len(texts)] = " ".join(other)
+    assert outcome(near_duplicates(frame(spark, texts), percent=percent)) == brute_force(texts, percent)
+
+
+def test_a_family_beyond_one_round(spark, monkeypatch):
+    """Lists with more outliers than a round compares: several rounds, and no link lost."""
+    monkeypatch.setattr(near, "FIRST_OUTLIERS", 2)
+    monkeypatch.setattr(near, "MORE_OUTLIERS", 2)
+    rng, texts = random.Random(23), {}
+    base = prose(rng, 200)
+    for _ in range(40):
+        other = edited(base, rng, rng.randint(7, 14))
+        for words in (other, edited(other, rng, 1)):
+            texts[len(texts)] = " ".join(words)
+    want = brute_force(texts, 85)
+    assert 20 < len({c for _, c, _ in want.values()}) < 60
+    assert outcome(near_duplicates(frame(spark, texts), percent=85)) == want
+
+
+def test_bounds_are_exact_tails():
+    for k in (24, 256):
+        for percent in (80, 85):
+            whole = least_sampled(percent, k)
+            assert whole <= min(least_sampled(percent, k, n) for n in (k + 1, 2 * k, 20 * k)) and least_sampled(percent, k, k) == -(-percent * k // 100)
+            tail = sum(math.comb(k, i) * percent**i * (100 - percent) ** (k - i) for i in range(whole)) / 100**k
+            assert tail <= LOSS < tail + math.comb(k, whole) * percent**whole * (100 - percent) ** (k - whole) / 100**k
+    # The steps allow for every smaller union.
+    for k, percent in ((24, 80), (24, 85), (256, 80), (256, 85)):
+        for step in STEPS:
+            most, even = int(step * k), 100 // math.gcd(percent, 100)
+            least = least_sampled(percent, k, -(-most * 100 // (percent * even)) * even)
+            assert all(least <= least_sampled(percent, k, n) for n in range(k + 1, most * 100 // percent + 1, 1 if k < 100 else 7))
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = " ".join(prose(random.Random(5), 3000, 500)) + " " + "y" * 1000 + " end of it all"
+    want = shingles(text)
+    for block in (64, 500):
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert np.array_equal(shingles(text), want)
+
+
+def test_texts_that_share_an_id(spark):
+    """Each row counts with its own text; a component has the smallest id of its rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (9, c), (None, c)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 3, False), (5, 5, True), (3, 3, True), (9, 5, False), (9, 9, True), (None, 9, False)], key=str)
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(None, "p q r s t u"), (5, "p q r s t u"), (5, "p q r s t u"), (7, None), (None, None), (None, "only here")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
