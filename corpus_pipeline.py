@@ -30,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest id, stays.
+    """One row of each group of near-duplicates (similarity 0.8 or more), that with the smallest id, stays.
 
     Where ids are null or repeated they cannot tell rows apart: rows then get numbers in the order of ids, nulls last.
     """
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         key, order = "row", [F.asc_nulls_last("doc_id"), F.md5("text"), "place"]  # the last two only spread equal ids
         ordered = docs.withColumn("place", F.monotonically_increasing_id()).orderBy(*order)
         docs = stored(ordered.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    gone = stored(near_duplicates(docs, percent=85, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    gone = stored(near_duplicates(docs, percent=80, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
     return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
