@@ -33,7 +33,7 @@ def test_stages(spark):
     assert {i: r.sha for i, r in got.items()} == {i: w[2] for i, w in want.items()} and all(r.n_chars == len(r.text) for r in got.values())
     third = duplicates(spark, second, SF)
     left = {r.doc_id for r in third.collect()}
-    assert left == {i for i, (_, _, stays) in near({i: r.text for i, r in got.items()}).items() if stays} and third.columns == docs.columns
+    assert left == {i for i, (_, _, stays) in near({i: r.text for i, r in got.items()}, 80).items() if stays} and third.columns == docs.columns
     pieces = packing(spark, third, SF).collect()
     total = Counter()
     for r in pieces:
