@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import json
 import operator
+import re
+import tempfile
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -128,12 +130,26 @@ def current_parallelism(spark: SparkSession) -> int:
     return max(1, context.defaultParallelism // int(context.getConf().get("spark.task.cpus", "1")))
 
 
-def numbered(df: DataFrame, name: str = "__at") -> DataFrame:
-    """Rows with dense numbers from 0, without one global sort: sizes of the partitions, then places within them.
+def steady(df: DataFrame) -> DataFrame:
+    """df with the same rows in the same partitions each time it is computed.
 
-    Needs a frame whose partitions are the same each time it is computed.
+    A scan with filters and projections is so by itself; behind an exchange, a cache or a random value the frame is
+    checkpointed in the shared folder.
     """
-    spark = df.sparkSession
+    execution = df._jdf.queryExecution()
+    if execution.analyzed().deterministic() and not re.search(r"Exchange|InMemory|Sample|Limit|PythonUDF|InArrow|InPandas", execution.executedPlan().toString()):
+        return df
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str = "__at") -> DataFrame:
+    """Rows of a steady frame with dense numbers from 0, without one global sort: sizes of the partitions, then places
+    within them."""
     marked = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = marked.groupBy("__part").count().collect()  # one number for each partition
     starts, total = {}, 0
@@ -156,14 +172,14 @@ def repartition(df: DataFrame, *spec: Any, sort: bool = True) -> DataFrame:
     n = s.partitions(df.count, current_parallelism(df.sparkSession))
     keys = [ref(c) for c in s.by]
     if s.algo == "even" and s.by:
-        groups = df.select(*[k.alias(f"__{i}") for i, k in enumerate(keys)]).distinct().persist()
+        groups = steady(df.select(*[k.alias(f"__{i}") for i, k in enumerate(keys)]).distinct())
         places = numbered(groups)
         count = n or max(1, groups.count())
         same = reduce(Column.__and__, [k.eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
         placed = df.join(places, same, "inner").select(*map(ref, df.columns), (F.col("__at") % count).cast("int").alias("__to"))
         out = placed.repartitionById(count, F.col("__to")).drop("__to")
     elif s.algo == "even" and n:
-        out = numbered(df).withColumn("__to", (F.col("__at") % n).cast("int")).drop("__at").repartitionById(n, F.col("__to")).drop("__to")
+        out = numbered(steady(df)).withColumn("__to", (F.col("__at") % n).cast("int")).drop("__at").repartitionById(n, F.col("__to")).drop("__to")
     elif s.algo == "rand" and n and not s.by:
         out = df.repartition(n, F.rand())
     elif keys:
@@ -172,7 +188,7 @@ def repartition(df: DataFrame, *spec: Any, sort: bool = True) -> DataFrame:
         out = df.coalesce(1)
     else:
         out = df.repartition(n) if n else df
-    order = [*(k.asc_nulls_last() for k in keys), *ordering(s.presort)] if sort else []
+    order = [*(k.asc_nulls_last() for k in keys), *ordering(s.presort, df=df)] if sort else []
     return out.sortWithinPartitions(*order) if order else out
 
 

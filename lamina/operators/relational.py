@@ -216,12 +216,14 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None, repla
         raise ValueError("n must not be negative")
     if not replace:
         return df.withColumn("__key", F.rand(seed)).orderBy("__key").limit(n).drop("__key")
-    spark, total = df.sparkSession, df.count()
+    from .partition import numbered, steady
+
+    fixed = steady(df)
+    total = fixed.count()
     if not total:
         return df.limit(0)
-    numbered = spark.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), T.StructType([T.StructField("__at", T.LongType()), *df.schema.fields]))
-    draws = spark.range(n).select(F.floor(F.rand(seed) * total).cast("long").alias("__at"))
-    return draws.join(numbered, "__at").drop("__at")
+    draws = df.sparkSession.range(n).select(F.floor(F.rand(seed) * total).cast("long").alias("__at"))
+    return draws.join(numbered(fixed), "__at").drop("__at")
 
 
 def parse_presort(presort: Any) -> dict[str, bool]:
@@ -246,12 +248,14 @@ def parse_presort(presort: Any) -> dict[str, bool]:
     return out
 
 
-def ordering(presort: dict[str, bool], na_position: str = "last") -> list[Column]:
-    """Nulls, and NaN with them, go first or last whatever the direction."""
+def ordering(presort: dict[str, bool], na_position: str = "last", df: DataFrame | None = None) -> list[Column]:
+    """Nulls, and NaN with them, go first or last whatever the direction. df: the frame, by which columns that hold no NaN
+    are told."""
     if na_position not in ("first", "last"):
         raise ValueError("na_position is first or last")
     way = {(True, "first"): "asc_nulls_first", (True, "last"): "asc_nulls_last", (False, "first"): "desc_nulls_first", (False, "last"): "desc_nulls_last"}
-    return [getattr(ref(c), way[up, na_position])() for c, up in presort.items()]
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))} if df is not None else set()
+    return [getattr(F.nanvl(ref(c), F.lit(None)) if c in floats else ref(c), way[up, na_position])() for c, up in presort.items()]
 
 
 def take(df: DataFrame, n: int, presort: Any = "", na_position: str = "last", partition: Any = None) -> DataFrame:
@@ -261,7 +265,7 @@ def take(df: DataFrame, n: int, presort: Any = "", na_position: str = "last", pa
     keys = [partition] if isinstance(partition, str) else list(getattr(partition, "by", partition) or [])
     order = parse_presort(presort) or parse_presort(getattr(partition, "presort", None))
     need(df, [*keys, *order])
-    by = ordering(order, na_position)
+    by = ordering(order, na_position, df)
     if not keys:
         return (df.orderBy(*by) if by else df).limit(n)
     if n == 1 and not by:

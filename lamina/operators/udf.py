@@ -1,7 +1,8 @@
 """User functions over partitions: transform, zip and cotransform.
 
-Everything travels as Arrow. Keyed functions run in applyInArrow, others in mapInArrow; the shuffle is Spark's own. Only
-small things (schemas, specs, the function) go into a closure.
+Everything travels as Arrow. Spark shuffles and sorts by keys and presort; a worker then cuts large batches where the key
+changes, so a small group costs no batch of its own and a streaming function never holds its group. Cotransforms run in
+applyInArrow. Only small things (schemas, specs, the function) go into a closure.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +26,10 @@ from ..errors import SchemaError, ValidationError
 from ..schema import arrow_schema, transform_schema
 from .callbacks import remote
 from .extensions import CoTransformer, Transformer, check_input, check_partition, declared_schema, no_wildcard, resolve, rules_of
-from .frames import Frames, Signature, give, ordered, take_back
+from .frames import Frames, Signature, give, ordered, take_back, to_pandas
 from .joins import join_kind
 from .partition import PartitionSpec, partition_spec, repartition, with_keys
-from .relational import need, ref
+from .relational import need, ordering, ref
 
 NOTHING = "_0:int"
 
@@ -62,6 +65,12 @@ class _Call:
         self.using = using
         self.signature = None if self.is_class else Signature.read(using)
         self.count = 0
+        self.given, self.want = arrow_schema(schema), arrow_schema(out)
+
+    @property
+    def kind(self) -> str:
+        """The form of frame that it takes."""
+        return self.using.input_format if self.is_class else self.signature.frames[0][1]
 
     def _arguments(self) -> dict[str, Any]:
         out = dict(self.params)
@@ -78,18 +87,13 @@ class _Call:
                 u.on_init(self.schema)
         self.count += 1
 
-    def one(self, key: tuple, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        """Over one logical partition."""
-        want = arrow_schema(self.out)
+    def one(self, key: tuple, tables: Iterator[Any]) -> Iterator[pa.Table]:
+        """Over one logical partition: tables, or frames that are in the form it takes."""
         try:
             self.prepare(key)
-            if self.is_class:
-                result = self.using.transform(give(tables, self.using.input_format, arrow_schema(self.schema)))
-                found = take_back(result, None, want)
-            else:
-                kind = self.signature.frames[0][1]
-                result = self.using(give(tables, kind, arrow_schema(self.schema)), **self._arguments())
-                found = take_back(result, self.signature.output, want)
+            held = next(tables) if self.kind == "pandas" and isinstance(tables, _Ready) else give(tables, self.kind, self.given)
+            result = self.using.transform(held) if self.is_class else self.using(held, **self._arguments())
+            found = take_back(result, None if self.is_class else self.signature.output, self.want)
             if self.ignore:
                 found = iter(list(found))  # nothing of a partition that fails on its way
         except self.ignore:
@@ -98,7 +102,6 @@ class _Call:
 
     def many(self, key: tuple, groups: list[pa.Table], names: list[str] | None) -> Iterator[pa.Table]:
         """Over the frames of one key."""
-        want = arrow_schema(self.out)
         try:
             self.prepare(key)
             if self.is_class:
@@ -113,7 +116,7 @@ class _Call:
                 else:
                     at = {n: i for i, n in enumerate(names)} if names and {n for n, _ in kinds} == set(names) else {n: i for i, (n, _) in enumerate(kinds)}
                     result = self.using(**{n: give(iter([groups[at[n]]]), k, groups[at[n]].schema) for n, k in kinds}, **self._arguments())
-            found = take_back(result, None if self.is_class else self.signature.output, want)
+            found = take_back(result, None if self.is_class else self.signature.output, self.want)
             if self.ignore:
                 found = iter(list(found))
         except self.ignore:
@@ -126,9 +129,94 @@ def _instance(using: Any) -> Any:
 
 
 def _without_nan(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """NaN and null are one group, shown as null."""
-    floats = {f.name for f in df.schema.fields if f.name in keys and isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.withColumns({c: F.when(~F.isnan(ref(c)), ref(c)) for c in floats}) if floats else df
+    """NaN and null are one group, shown as null, and so are both zeros."""
+    floats = {f.name: f.dataType for f in df.schema.fields if f.name in keys and isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.withColumns({c: F.when(~F.isnan(ref(c)), ref(c) + F.lit(0.0).cast(kind)) for c, kind in floats.items()}) if floats else df
+
+
+class _Ready(Iterator):
+    """One frame that is already in the form its function takes."""
+
+    def __init__(self, frame: Any):
+        self.frame = frame
+
+    def __next__(self) -> Any:
+        return self.frame
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal."""
+    before, after = column.slice(0, len(column) - 1), column.slice(1)
+    try:
+        differ = pc.fill_null(pc.not_equal(after, before), False).to_numpy(zero_copy_only=False)
+    except pa.ArrowNotImplementedError:  # nested keys
+        values = column.to_pylist()
+        return np.array([x != y for x, y in zip(values[1:], values, strict=False)], bool)
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    return differ | (missing[1:] != missing[:-1])
+
+
+class KeyRuns:
+    """Cuts batches that are sorted by keys into one run for each key, which may go over several batches."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], frames: bool):
+        self.batches, self.keys, self.frames = batches, keys, frames
+        self.pieces = self._cut()
+        self.ahead = next(self.pieces, None)
+
+    def _cut(self) -> Iterator[tuple[tuple, bool, Any]]:
+        """(key, whether the run begins here, table or a pandas frame of a whole run) of each piece."""
+        last: tuple | None = None
+        for b in self.batches:
+            if not b.num_rows:
+                continue
+            table, columns = pa.Table.from_batches([b]), [b.column(b.schema.get_field_index(k)) for k in self.keys]
+            cut = np.zeros(b.num_rows - 1, bool)
+            for c in columns:
+                cut |= _changes(c)
+            starts = [0, *(np.flatnonzero(cut) + 1).tolist(), b.num_rows]
+            # A batch is converted once, unless nulls would give its groups another kind of column than their own.
+            whole = to_pandas(table) if self.frames and len(starts) > 8 and not any(c.null_count for c in b.columns) else None
+            keys = list(zip(*(c.take(pa.array(starts[:-1])).to_pylist() for c in columns), strict=True))
+            for i, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
+                fresh = i > 0 or last is None or keys[0] != last
+                inside = whole is not None and 0 < i < len(starts) - 2
+                yield keys[i], fresh, whole.iloc[lo:hi].reset_index(drop=True) if inside else table.slice(lo, hi - lo)
+            last = keys[-1]
+
+    def _rest(self) -> Iterator[pa.Table]:
+        """What remains of the run that began, piece by piece."""
+        while True:
+            piece, self.ahead = self.ahead[2], next(self.pieces, None)
+            yield piece
+            if self.ahead is None or self.ahead[1]:
+                return
+
+    def __iter__(self) -> Iterator[tuple[tuple, Iterator[Any]]]:
+        while self.ahead is not None:
+            key, _, piece = self.ahead
+            if not isinstance(piece, pa.Table):
+                self.ahead = next(self.pieces, None)
+                yield key, _Ready(piece)
+                continue
+            run = self._rest()
+            yield key, run
+            for _ in run:  # what the function left
+                pass
+
+
+def _gathered(tables: Iterator[pa.Table], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Small tables as batches of some size."""
+    held, n = [], 0
+    for t in tables:
+        if t.num_rows:
+            held.append(t)
+            n += t.num_rows
+        if n >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
 def _sliced(tables: Iterator[pa.Table], spec: PartitionSpec) -> Iterator[list[pa.Table]]:
@@ -194,13 +282,20 @@ def map_partitions(df: DataFrame, using: Any, schema: Any = None, params: dict[s
     n = spec.partitions(df.count, 1) if spec.num != "0" else 0
     if n or spec.algo == "even":
         rows = repartition(rows, PartitionSpec(spec.num, spec.algo, spec.by), sort=False)
+    else:  # a stated number: by bytes, few tasks would get the many calls of small groups
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *map(ref, spec.by))
+    limited = bool(spec.row_limit or spec.size_limit)
 
-    def over_group(key: tuple, table: pa.Table) -> pa.Table:
-        values = tuple(k.as_py() for k in key)
-        found = [t for part in _sliced(iter([ordered(table, spec.presort)]), spec) for t in call.one(values, iter(part))]
-        return pa.concat_tables(found) if found else want.empty_table()
+    def over_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[pa.Table]:
+            for key, run in KeyRuns(batches, spec.by, call.kind == "pandas" and not limited):
+                for part in map(iter, _sliced(iter([pa.concat_tables(run)]), spec)) if limited else [run]:
+                    yield from call.one(key, part)
+
+        yield from _gathered(found())
 
-    return rows.groupBy(*map(ref, spec.by)).applyInArrow(over_group, out)
+    order = [*(k.asc_nulls_last() for k in map(ref, spec.by)), *ordering(spec.presort, df=df)]
+    return rows.sortWithinPartitions(*order).mapInArrow(over_runs, out)
 
 
 def transform(df: DataFrame | str, using: Any, schema: Any = None, params: dict[str, Any] | None = None, partition: Any = None, callback: Callable | None = None, ignore_errors: Any = None, persist: bool = False, as_local: bool = False, save_path: str | None = None, checkpoint: bool = False, spark: Any = None) -> Any:

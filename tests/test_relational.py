@@ -172,3 +172,32 @@ def test_local_forms(ab):
     with pytest.raises(AssertionError):
         api.assert_eq(ab, ab.limit(1))
     api.assert_not_eq(ab, ab.limit(1))
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_nan_goes_with_nulls(spark, kind):
+    df = spark.createDataFrame([("k", 1.0), ("k", None), ("k", float("nan")), ("k", 5.0)], f"k string, a {kind}")
+    for presort, na, want in (("a desc", "last", [5, 1]), ("a", "last", [1, 5]), ("a", "first", [None, None]), ("a desc", "first", [None, None])):
+        for by in (None, "k"):
+            got = [None if r.a is None or math.isnan(r.a) else r.a for r in api.take(df, 2, presort, na, partition=by).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_samples_are_of_the_frame(spark):
+    df = spark.range(0, 400, numPartitions=7).selectExpr("id", "id * 2 AS twice")
+    drawn = [tuple(r) for r in api.sample(df, n=1000, replace=True, seed=3).collect()]
+    assert len(drawn) == 1000 and all(0 <= a < 400 and b == 2 * a for a, b in drawn) and 300 < len(set(drawn)) < 400
+    behind = df.repartition(5).groupBy("id").count()
+    drawn = [r.id for r in api.sample(behind, n=800, replace=True).collect()]
+    assert len(drawn) == 800 and set(drawn) <= set(range(400)) and len(set(drawn)) > 250
+    once = [r.id for r in api.sample(df, n=100, seed=1).collect()]
+    assert len(set(once)) == 100 and set(once) <= set(range(400))
+    assert api.sample(df.limit(0), n=5, replace=True).count() == 0
+
+
+def test_any_names_in_distinct_and_named_arguments(spark):
+    df = spark.createDataFrame([(1, "it's"), (1, "a\\b"), (2, "it's")], "`a b` int, `c.d` string")
+    got = api.aggregate(df, None, s=function("sum", col("a b"), arg_distinct=True), n=function("count", col("c.d"), arg_distinct=True)).first()
+    assert tuple(got) == (3, 2)
+    assert api.select(df, function("collect_set", lit("it's \\ `x`"), arg_distinct=True).alias("x")).first().x == ["it's \\ `x`"]
+    assert col("a b").sql() == "`a b`" and col("a").sql() == "a"

@@ -237,3 +237,32 @@ def test_out_cotransform(spark):
 
     api.out_cotransform(api.zip_frames(list(pair(spark)), "full_outer"), tell, callback=seen.append)
     assert sorted(seen) == [(0, 1), (1, 0), (2, 1)]
+
+
+def test_runs_of_keys_over_batches(spark):
+    """Keys with nulls, NaN and both zeros, of any type, in groups that go over batches: each is called once, in order."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, float(i)) for i in range(40) for k in (0.0, -0.0, None, float("nan"), 2.5)] + [(3.0, None)]
+        df = spark.createDataFrame(rows, "k double, v double")
+
+        def whole(df: pd.DataFrame) -> pd.DataFrame:
+            assert df.index[0] == 0 and df["v"].dropna().is_monotonic_decreasing
+            return pd.DataFrame({"k": df["k"][:1], "n": [len(df)]})
+
+        def lazy(rows: Iterable[list[Any]]) -> Iterable[list[Any]]:
+            first = next(iter(rows))
+            yield [first[0], 1]  # the rest of the group is left
+
+        spec = {"by": "k", "presort": "v desc"}
+        got = {r.k: r.n for r in api.transform(df, whole, "k:double,n:long", partition=spec).collect()}
+        assert got == {0.0: 80, None: 80, 2.5: 40, 3.0: 1}
+        assert sorted(str(r.k) for r in api.transform(df, lazy, "k:double,n:long", partition=spec).collect()) == ["0.0", "2.5", "3.0", "None"]
+        nested = df.selectExpr("named_struct('x', k, 'y', array(k)) AS k", "v").where("v IS NOT NULL AND NOT isnan(k.x) AND k.x > 0")
+
+        def size(t: pa.Table) -> pa.Table:
+            return pa.table({"n": pa.array([t.num_rows], pa.int64())})
+
+        assert [r.n for r in api.transform(nested, size, "n:long", partition={"by": "k"}).collect()] == [40]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
