@@ -20,7 +20,7 @@ from .operators.output import as_array, as_array_iterable, as_dict_iterable, as_
 from .operators.partition import PartitionSpec, current_parallelism, partition_spec, persist, repartition
 from .operators.relational import aggregate, alter_columns, assign, distinct, drop_columns, dropna, fillna, filter, normalize_column_names, rename, sample, select, select_columns, take  # noqa: A004
 from .operators.udf import PartitionCursor, cotransform, out_cotransform, out_transform, transform, zip_frames  # noqa: F401
-from .plans.flow import Flow
+from .plans.flow import DEFAULTS, GLOBAL, Flow, register_global_conf  # noqa: F401
 from .plans.sql import raw_sql, xsql, xsql_flow
 from .schema import format_schema, parse_schema, transform_schema
 from .sources.io import load, load_table, save, save_and_use, save_table, table_exists
@@ -28,7 +28,6 @@ from .streaming.windows import sessions, windowed  # noqa: F401
 
 _sessions: list[SparkSession] = []
 _global: list[SparkSession] = []
-_conf: dict[str, Any] = {}
 
 
 def is_df(value: Any) -> bool:
@@ -71,7 +70,16 @@ def as_arrow(df: DataFrame, columns: list[str] | None = None) -> Any:
     return (select_columns(df, columns) if columns else df).toArrow()
 
 
-as_local = as_local_bounded = as_arrow
+def as_local(df: DataFrame) -> Any:
+    """The rows on the driver as one Arrow table."""
+    return df.toArrow()
+
+
+def as_local_bounded(df: DataFrame) -> Any:
+    """as_local, of a frame that has an end."""
+    if df.isStreaming:
+        raise ValueError("a stream has no end")
+    return df.toArrow()
 
 
 def get_native_as_df(df: DataFrame) -> DataFrame:
@@ -105,12 +113,9 @@ def get_session() -> SparkSession:
     return (_sessions or _global or [SparkSession.builder.getOrCreate()])[-1]
 
 
-def register_global_conf(conf: dict[str, Any]) -> None:
-    _conf.update(conf)
-
-
 def get_current_conf() -> dict[str, Any]:
-    return dict(_conf)
+    """The settings that a pipeline without its own would run with."""
+    return DEFAULTS | GLOBAL
 
 
 def get_current_parallelism() -> int:

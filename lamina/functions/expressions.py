@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -60,7 +61,7 @@ class Expr:
 
     def infer_type(self, schema: T.StructType) -> T.DataType | None:
         """The type of a plain column of a schema; None where only analysis can tell."""
-        return next((f.dataType for f in schema.fields if {f.name} == self.columns and self.text == f.name), None)
+        return next((f.dataType for f in schema.fields if {f.name} == self.columns and self.text in (f.name, _quoted(f.name))), None)
 
     def is_null(self) -> Expr:
         return self._with(build=lambda: self.column().isNull(), name="", given="", text=f"({self.text} IS NULL)")
@@ -87,6 +88,10 @@ class Expr:
 
     uuid = property(__repr__)
 
+    def sql(self) -> str:
+        """The expression as Spark SQL, without its alias."""
+        return self.text
+
 
 def _binary(sign: str, apply: Callable[[Column, Column], Column], swapped: bool = False):
     def method(self: Expr, other: Any) -> Expr:
@@ -127,13 +132,13 @@ def col(name: str | Expr, alias: str = "") -> Expr:
         return name.alias(alias) if alias else name
     if name == "*":
         return all_cols()
-    return Expr(lambda: F.col(_quoted(name)), name=name, given=alias, columns=frozenset([name]), text=name)
+    return Expr(lambda: F.col(_quoted(name)), name=name, given=alias, columns=frozenset([name]), text=name if re.fullmatch(r"[A-Za-z_]\w*", name) else _quoted(name))
 
 
 def lit(value: Any, alias: str = "") -> Expr:
     if value is not None and not isinstance(value, (bool, int, float, str)):
         raise NotImplementedError(f"{type(value).__name__} is no literal")
-    text = "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value).upper() if isinstance(value, bool) else str(value)
+    text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value).upper() if isinstance(value, bool) else str(value)
     return Expr(lambda: F.lit(value), given=alias, literal=True, text=text)
 
 

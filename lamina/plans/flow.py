@@ -6,14 +6,27 @@ which a deterministic checkpoint is found again.
 
 from __future__ import annotations
 
+import atexit
+import datetime
+import dis
+import functools
 import hashlib
 import inspect
+import itertools
+import re
 import threading
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
+from enum import Enum
+from pathlib import PurePath
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..errors import CompileError, RunError
@@ -28,25 +41,118 @@ from ..sources import io
 DEFAULTS: dict[str, Any] = {"concurrency": 1, "checkpoint_path": None, "auto_persist": False, "auto_persist_level": None}
 
 
-def canonical(value: Any) -> str:
-    """A text that is equal for equal settings, in every process."""
+#: Settings of all pipelines, between the defaults and a pipeline's own; "spark." ones go to the session of a run.
+GLOBAL: dict[str, Any] = {}
+
+UNDETERMINED = "undetermined"
+_tokens: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _undetermined(value: Any) -> str:
+    """For what has no content that can be told, such as a Spark frame or a generator: another text in each process."""
+    try:
+        return _tokens.setdefault(value, f"{UNDETERMINED} {uuid.uuid4().hex}")
+    except TypeError:
+        return f"{UNDETERMINED} {uuid.uuid4().hex}"
+
+
+def _digest(*parts: bytes) -> str:
+    out = hashlib.sha256()
+    for x in parts:
+        out.update(len(x).to_bytes(8, "little") + x)
+    return out.hexdigest()
+
+
+def _arrow_content(table: pa.Table) -> str:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return _digest(sink.getvalue())
+
+
+#: Methods by which a function adds to what it holds, without reading it.
+_ADDING = {"append", "add", "extend", "update", "put"}
+
+
+def _only_added_to(code: Any) -> set[str]:
+    """Variables of a function whose every use is a call that adds to them: no inputs of it."""
+    steps = list(dis.get_instructions(code))
+    uses = [(a.argval, b.opname in ("LOAD_ATTR", "LOAD_METHOD") and b.argval in _ADDING) for a, b in itertools.pairwise(steps) if a.opname in ("LOAD_DEREF", "LOAD_GLOBAL")]
+    return {n for n, _ in uses} - {n for n, adds in uses if not adds}
+
+
+def _function_content(fn: Any, seen: tuple) -> str:
+    """Of a plain function: its source, defaults, what it closes over, and the globals it names."""
+    try:
+        code = inspect.getsource(fn)
+    except (OSError, TypeError):
+        c = fn.__code__
+        code = f"{c.co_code.hex()} {c.co_names} {[x for x in c.co_consts if not inspect.iscode(x)]}"
+    written = _only_added_to(fn.__code__)
+    held = [c.cell_contents for n, c in zip(fn.__code__.co_freevars, fn.__closure__ or (), strict=True) if n not in written and c.cell_contents is not fn]
+    codes, names = [fn.__code__], set()
+    while codes:
+        c = codes.pop()
+        names |= set(c.co_names)
+        codes += [x for x in c.co_consts if inspect.iscode(x)]
+    around = {n: fn.__globals__[n] for n in names - written if n in fn.__globals__ and not inspect.ismodule(fn.__globals__[n])}
+    own = {n: v for n, v in around.items() if getattr(v, "__module__", fn.__module__) == fn.__module__}
+    parts = [code, *(canonical(x, seen) for x in (held, fn.__defaults__, fn.__kwdefaults__, own))]
+    return f"{fn.__module__}.{fn.__qualname__} {_digest(*(x.encode() for x in parts))}" + f" {UNDETERMINED}" * any(UNDETERMINED in x for x in parts[1:])
+
+
+def canonical(value: Any, seen: tuple = ()) -> str:
+    """A text that is equal for equal settings, in every process, and different for different content.
+
+    What has no such text makes it contain UNDETERMINED.
+    """
+    if any(value is x for x in seen):
+        return f"again {len(seen)}"
+    if isinstance(value, (Expr, PartitionSpec, str, int, float, bool, bytes, type(None), PurePath, datetime.date, datetime.timedelta, Decimal, Enum)):
+        return f"{type(value).__name__}:{value!r}" if not isinstance(value, (str, int, type(None))) else repr(value)
+    seen = (*seen, value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{k!r}:{canonical(v)}" for k, v in sorted(value.items(), key=lambda x: str(x[0]))) + "}"
+        return "{" + ",".join(f"{canonical(k, seen)}:{canonical(v, seen)}" for k, v in sorted(value.items(), key=lambda x: str(x[0]))) + "}"
     if isinstance(value, (list, tuple)):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, (Expr, PartitionSpec, str, int, float, bool, bytes, type(None))):
-        return repr(value)
+        return "[" + ",".join(canonical(x, seen) for x in value) + "]"
+    if isinstance(value, (set, frozenset)):
+        return "set[" + ",".join(sorted(canonical(x, seen) for x in value)) + "]"
     if isinstance(value, Column):
-        return str(value)
-    if isinstance(value, DataFrame):
-        return f"frame {id(value)}"
-    if callable(value):
+        text = value._jc.toString() if hasattr(value, "_jc") else str(value)
+        return _undetermined(value) if re.search(r"\.\.\. \d+ more", text) else f"column {text}"
+    if isinstance(value, DataFrame) or inspect.isgenerator(value) or isinstance(value, Iterator):
+        return _undetermined(value)
+    if isinstance(value, (pd.DataFrame, pd.Series)):
+        try:
+            table = pa.Table.from_pandas(value if isinstance(value, pd.DataFrame) else value.to_frame("0"))
+            return f"pandas {list(map(str, value.axes[-1]))} {_arrow_content(table)}"
+        except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError):
+            return f"pandas {canonical(value.to_dict('list') if isinstance(value, pd.DataFrame) else value.to_list(), seen)}"
+    if isinstance(value, (pa.Table, pa.RecordBatch)):
+        return f"arrow {_arrow_content(value if isinstance(value, pa.Table) else pa.Table.from_batches([value]))}"
+    if isinstance(value, (pa.Array, pa.ChunkedArray)):
+        return f"arrow {_arrow_content(pa.table({'0': value}))}"
+    if isinstance(value, (np.ndarray, np.generic)):
+        return f"numpy {value.dtype} {np.shape(value)} " + (canonical(value.tolist(), seen) if value.dtype.hasobject else _digest(value.tobytes()))
+    if isinstance(value, functools.partial):
+        return f"partial {canonical([value.func, value.args, value.keywords], seen)}"
+    if inspect.ismethod(value):
+        return f"method {canonical([value.__self__, value.__func__], seen)}"
+    if inspect.isfunction(value):
+        return _function_content(value, seen)
+    if inspect.isbuiltin(value) or inspect.ismodule(value):
+        return f"{getattr(value, '__module__', '')}.{value.__name__}"
+    if inspect.isclass(value):
         try:
-            code = hashlib.sha256(inspect.getsource(value).encode()).hexdigest()
+            return f"class {value.__module__}.{value.__qualname__} {_digest(inspect.getsource(value).encode())}"
         except (OSError, TypeError):
-            code = ""
-        return f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', type(value).__qualname__)} {code}"
-    return repr(value)
+            return f"class {value.__module__}.{value.__qualname__}"
+    if hasattr(value, "__wrapped__"):
+        return canonical([type(value), value.__wrapped__], seen)
+    if hasattr(value, "__dict__"):
+        return f"object {canonical([type(value), vars(value)], seen)}"
+    text = repr(value)
+    return _undetermined(value) if " at 0x" in text else f"{type(value).__qualname__} {text}"
 
 
 class Step:
@@ -56,6 +162,8 @@ class Step:
         self.flow, self.name, self.run, self.inputs, self.params = flow, name, run, inputs, params
         text = determiner or f"{name} {canonical(params)}"
         self.uuid = hashlib.sha256("\n".join([text, *(i.uuid for i in inputs)]).encode()).hexdigest()[:32]
+        #: Whether every run, in any process, gives this step the same id.
+        self.determined = UNDETERMINED not in text and all(i.determined for i in inputs)
         self.partition = PartitionSpec()
         self.after: list[Callable[[Any, Run], Any]] = []
         self.stored: Callable[[Run], Any] | None = None
@@ -69,6 +177,7 @@ class Run:
         self.results: dict[Step, Any] = {}
         self.locks: dict[Step, threading.Lock] = {s: threading.Lock() for s in flow.steps}
         self.temporary: list[str] = []
+        self.persisted: list[DataFrame] = []
         self.yields: dict[str, Any] = {}
         self.id = uuid.uuid4().hex
 
@@ -89,6 +198,7 @@ class Run:
                     uses = sum(i is step for s in self.flow.steps for i in s.inputs)
                     if self.conf["auto_persist"] and uses > 1 and isinstance(out, DataFrame):
                         out = persist(out, True, self.conf["auto_persist_level"])
+                        self.persisted.append(out)
                 self.results[step] = out
             return self.results[step]
 
@@ -268,7 +378,8 @@ class FlowFrame:
         return self
 
     def strong_checkpoint(self, storage_type: str = "file", lazy: bool = False, partition: Any = None, single: bool = False, **options: Any) -> FlowFrame:
-        """A copy that the run's end removes. Tables and files alike; lazy makes no difference to the result."""
+        """A copy, as files or a table, that goes with the run's result; where a frame is yielded or computed, which may read
+        it later, with the session. lazy makes no difference to the result."""
 
         def keep(d: DataFrame, r: Run) -> DataFrame:
             if storage_type == "table":
@@ -286,7 +397,13 @@ class FlowFrame:
     checkpoint = strong_checkpoint
 
     def deterministic_checkpoint(self, storage_type: str = "file", lazy: bool = False, partition: Any = None, single: bool = False, namespace: Any = None, **options: Any) -> FlowFrame:
-        """A copy that later runs of the same step find again, by its id and the namespace."""
+        """A copy that later runs of the same step find again, by its id and the namespace.
+
+        The id stands for the content of data and functions. Steps over what has no such content, as a Spark frame given
+        from outside, need a data_determiner.
+        """
+        if not self.step.determined:
+            raise CompileError("what this step works on has no content that tells it apart in later runs; give df() a data_determiner")
         name = hashlib.sha256(f"{self.step.uuid} {canonical(namespace)}".encode()).hexdigest()[:32]
 
         def target(r: Run) -> str:
@@ -338,7 +455,7 @@ class FlowFrame:
 
     def compute(self, spark: SparkSession | None = None, **conf: Any) -> DataFrame:
         """Runs the whole pipeline and gives this frame."""
-        return self.flow.run(spark, **conf).frames[self.step]
+        return self.flow._run(spark, conf, True).frames[self.step]
 
 
 class FlowZip:
@@ -376,14 +493,24 @@ class FlowResult:
         return name in self.yields
 
 
+def _known(conf: dict[str, Any]) -> None:
+    unknown = {k for k in conf if k not in DEFAULTS and not k.startswith("spark.")}
+    if unknown:
+        raise CompileError(f"unknown settings {sorted(unknown)}")
+
+
+def register_global_conf(conf: dict[str, Any]) -> None:
+    """Settings that every pipeline starts from; its own and those of run() come after."""
+    _known(conf)
+    GLOBAL.update(conf)
+
+
 class Flow:
     """Records steps; run() executes them all, each once."""
 
     def __init__(self, **conf: Any):
-        unknown = set(conf) - set(DEFAULTS)
-        if unknown:
-            raise CompileError(f"unknown settings {sorted(unknown)}")
-        self.conf = DEFAULTS | conf
+        _known(conf)
+        self.conf = conf
         self.steps: list[Step] = []
         self.yield_names: set[str] = set()
 
@@ -447,8 +574,15 @@ class Flow:
 
     def run(self, spark: SparkSession | None = None, **conf: Any) -> FlowResult:
         """Executes every step; ends of the graph run side by side if concurrency allows."""
+        return self._run(spark, conf, False)
+
+    def _run(self, spark: SparkSession | None, conf: dict[str, Any], keep: bool) -> FlowResult:
         spark = spark or SparkSession.builder.getOrCreate()
-        r = Run(self, spark, self.conf | conf)
+        every = DEFAULTS | GLOBAL | self.conf | conf
+        for k, v in every.items():
+            if k.startswith("spark."):
+                spark.conf.set(k, v)
+        r = Run(self, spark, every)
         used = {i for s in self.steps for i in s.inputs}
         ends = [s for s in self.steps if s not in used]
         try:
@@ -458,13 +592,41 @@ class Flow:
                         f.result()
             for s in self.steps:
                 r.result(s)
-        finally:
-            for path in r.temporary:
-                # A yielded frame that reads a temporary copy would lose it; such copies stay until the session ends.
-                if not any(isinstance(v, DataFrame) for v in r.yields.values()) and not path.startswith("table:"):
-                    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-        return FlowResult(r.yields, r.results)
+        except BaseException:
+            _release(spark, r.persisted, r.temporary, False)
+            raise
+        out = FlowResult(r.yields, r.results)
+        # Cached frames and temporary copies last as long as the result; if a frame leaves it, until the session ends.
+        if keep or any(isinstance(v, DataFrame) for v in r.yields.values()):
+            _release(spark, [], r.temporary, True)
+        else:
+            weakref.finalize(out, _release, spark, r.persisted, r.temporary, False)
+        return out
+
+
+def _release(spark: SparkSession, persisted: list[DataFrame], temporary: list[str], later: bool) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended, and with it what it held
+        return
+    for d in persisted:
+        d.unpersist()
+    for path in temporary:
+        _drop(spark, path, later)
+
+
+def _drop(spark: SparkSession, path: str, later: bool) -> None:
+    if path.startswith("table:"):
+        table = path.removeprefix("table:")
+        if later:
+            atexit.register(lambda: spark.sparkContext._jsc and spark.sql(f"DROP TABLE IF EXISTS `{table}`"))
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if later:
+        fs.deleteOnExit(at)
+    else:
+        fs.delete(at, True)
 
 
 def _driver_call(spark: SparkSession, using: Any, dfs: list[DataFrame], names: list[str] | None, params: dict[str, Any] | None, schema: Any, spec: PartitionSpec | None = None) -> tuple[Any, Any]:

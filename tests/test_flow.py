@@ -9,7 +9,7 @@ from lamina.errors import CompileError, RunError
 from lamina.functions import expressions as f
 from lamina.functions.expressions import col
 from lamina.operators.output import same
-from lamina.plans.flow import Flow
+from lamina.plans.flow import GLOBAL, UNDETERMINED, Flow, canonical
 
 
 def build(n=2):
@@ -144,3 +144,76 @@ def test_auto_persist(spark):
 def test_compute(spark):
     flow, a, b = build()
     assert b.compute(spark).count() == 1
+
+
+def test_ids_stand_for_content(spark, tmp_path):
+    """Frames that differ deep inside, closures, defaults and globals: another id; equal content: the same."""
+    import functools
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def shifted(by):
+        def add(df: pd.DataFrame) -> pd.DataFrame:
+            return df.assign(a=df["a"] + by)
+
+        return add
+
+    def with_default(df: pd.DataFrame, by=1) -> pd.DataFrame:
+        return df
+
+    first, second = with_default, None
+    def with_default(df: pd.DataFrame, by=2) -> pd.DataFrame:  # noqa: F811
+        return df
+
+    second = with_default
+    long, other = pd.DataFrame({"a": range(1000)}), pd.DataFrame({"a": range(1000)})
+    other.loc[500, "a"] = 10**6
+    pairs = [
+        (long, other), (pa.Table.from_pandas(long), pa.Table.from_pandas(other)), (long["a"].to_numpy(), other["a"].to_numpy()),
+        (shifted(1), shifted(2)), (first, second), (functools.partial(first, by=3), functools.partial(first, by=4)), ({1, 2}, {1, 3}), (np.float32(1), np.float32(2)),
+        (pd.DataFrame({"a": [{"x": 1}, [2]]}), pd.DataFrame({"a": [{"x": 1}, [3]]})),
+    ]
+    for a, b in pairs:
+        assert canonical(a) != canonical(b) and UNDETERMINED not in canonical(a)
+    assert canonical(long) == canonical(long.copy()) and canonical(shifted(1)) == canonical(shifted(1)) and canonical({2, 1}) == canonical({1, 2})
+    frame = spark.range(3)
+    assert canonical(frame) == canonical(frame) != canonical(spark.range(3)) and UNDETERMINED in canonical([iter([1])])
+
+
+def test_deterministic_checkpoints_keep_frames_apart(spark, tmp_path):
+    import pandas as pd
+
+    long, other = pd.DataFrame({"a": range(1000)}), pd.DataFrame({"a": range(1000)})
+    other.loc[500, "a"] = 10**6
+    for data, want in ((long, 999), (other, 10**6), (long, 999)):
+        flow = Flow(checkpoint_path=str(tmp_path))
+        assert flow.df(data, "a:long").deterministic_checkpoint().compute(spark).agg({"a": "max"}).first()[0] == want
+    assert len(list((tmp_path / "deterministic").iterdir())) == 2
+    flow = Flow(checkpoint_path=str(tmp_path))
+    with pytest.raises(CompileError):
+        flow.df(spark.range(3)).distinct().deterministic_checkpoint()
+    flow.df(spark.range(3), data_determiner="three").deterministic_checkpoint()
+
+
+def test_strong_checkpoints_go_with_the_run(spark, tmp_path):
+    for kind in ("file", "table"):
+        flow = Flow(checkpoint_path=str(tmp_path))
+        df = flow.df([[1]], "a:int").strong_checkpoint(kind)
+        df.assert_eq(flow.df([[1]], "a:int"))
+        flow.run(spark)
+    assert not [p for p in tmp_path.rglob("*.parquet")] and not [t for t in spark.catalog.listTables() if t.name.startswith("strong_")]
+    flow = Flow(checkpoint_path=str(tmp_path))
+    assert flow.df([[7]], "a:int").strong_checkpoint().compute(spark).first()[0] == 7
+
+
+def test_global_conf(spark, tmp_path):
+    api.register_global_conf({"checkpoint_path": str(tmp_path)})
+    try:
+        flow = Flow()
+        assert flow.df([[7]], "a:int").strong_checkpoint().compute(spark).first()[0] == 7 and api.get_current_conf()["checkpoint_path"] == str(tmp_path)
+        with pytest.raises(CompileError):
+            api.register_global_conf({"no_such": 1})
+    finally:
+        GLOBAL.clear()
