@@ -120,3 +120,36 @@ def test_urls_without_broadcast(spark, monkeypatch):
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert {r.page_id: r.verdict for r in judge(pages, listed, default="block").collect()} == {i: plain(u, RULES, "block")[3] for i, u in enumerate(URLS)}
     assert judge(pages.limit(0), listed).collect() == []
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    """A run is bucketed and sorted: the merge join with it needs no exchange on either side."""
+    runs = LineRuns(spark, buckets=5)
+    for at in range(2):
+        runs.add(spark.range(at * 20, at * 20 + 30).selectExpr("id * 7919 AS h1", "id AS h2", "1L AS n"))
+    one, other = (runs._table(n) for n in runs.levels()[0])
+    plan = one.hint("merge").join(other, ["h1", "h2"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    found = runs.add(spark.range(10, 40).selectExpr("id * 7919 AS h1", "id AS h2", "1L AS n"), least=3).collect()
+    assert sorted((r.h2, r.n) for r in found) == [(i, 3) for i in range(20, 30)]
+    runs.remove()
+
+
+def test_a_batch_counts_once(spark):
+    runs, texts = LineRuns(spark), corpus(30)
+    first = sorted(map(tuple, outcome(drop_common_lines(frame(spark, texts), runs=runs, batch="monday")).items()))
+    held = sorted(map(tuple, runs.counts().collect()))
+    again = LineRuns(spark, runs.path)
+    assert sorted(map(tuple, outcome(drop_common_lines(frame(spark, texts), runs=again, batch="monday")).items())) == first
+    assert sorted(map(tuple, again.counts().collect())) == held and again.state()["batches"] == ["monday"]
+    runs.remove()
+
+
+def test_working_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a\nb", "x", "y"), (2, None, None, "z")], "doc_id long, text string, __rk string, __kept string")
+    got = drop_common_lines(df, min_docs=5).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r["__rk"], r["__kept"], r.n_lines) for r in got] == [(1, "a\nb", "x", "y", 2), (2, "", None, "z", 1)]
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "kept")], "page_id long, url string, __url string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    row = judge(pages, rules).first()
+    assert row["__url"] == "kept" and row.verdict == "block"
