@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and code books are fitted on a bounded sample; every vector is indexed. A query visits the lists of its
-nearest centroids, ranks each list's codes by an asymmetric distance table and measures the best of them exactly.
+nearest centroids, ranks their codes by an asymmetric distance table and measures the best of them exactly.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import HITS, best, matrix, taking_part
+from .vectors import HITS, best, matrix, smallest, streamed, taking_part
 
 #: Bounds of the fit: vectors of the sample (about), lists, code words of a subspace, and components of a subspace.
 SAMPLE, MOST_LISTS, WORDS, SUBSPACE = 8192, 4096, 256, 4
-#: Share of the lists that a query visits, and candidates of a list's shard that are measured exactly.
-PROBE_SHARE, RERANK = 0.75, 64
-#: Queries of one block.
-QUERY_BLOCK = 1024
+#: Share of the lists that a query visits, and candidates of a group that are measured exactly.
+PROBE_SHARE, RERANK = 0.7, 64
+#: Vectors of a group at most (about) and at least, the fewest groups of larger tables, and queries of one step.
+GROUP_ROWS, FEWEST_ROWS, FEWEST_GROUPS, QUERY_STEP = 32_768, 512, 24, 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -60,13 +60,23 @@ class IvfPq:
         parts = self.parts(x - self.centroids[lists])
         return lists, np.stack([nearest(parts[:, j], b) for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def distances(self, queries: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
+    def constants(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The part of each coded vector's distance that no query changes: |r|^2 + 2 c.r for centroid c and residual r."""
+        m, _, s = self.books.shape
+        r = np.concatenate([self.books[j][codes[:, j]] for j in range(m)], axis=1)[:, : self.centroids.shape[1]]
+        return (r**2).sum(axis=1) + 2 * (r * self.centroids[lists]).sum(axis=1)
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, subspaces, words): -2 q.w, one table for all lists."""
+        return -2 * np.einsum("qms,mws->qmw", self.parts(queries), self.books)
+
+    def distances(self, queries: np.ndarray, lists: int, codes: np.ndarray, constants: np.ndarray | None = None, tables: np.ndarray | None = None) -> np.ndarray:
         """Asymmetric: squared distances of exact queries to coded vectors of one list, by table."""
-        parts = self.parts(queries - self.centroids[lists])
-        out = np.zeros((len(queries), len(codes)))
-        for j, book in enumerate(self.books):
-            table = ((parts[:, j, None, :] - book[None]) ** 2).sum(axis=2)
-            out += table[:, codes[:, j]]
+        tables = self.tables(queries) if tables is None else tables
+        constants = self.constants(np.full(len(codes), lists), codes) if constants is None else constants
+        out = ((queries - self.centroids[lists]) ** 2).sum(axis=1)[:, None] + constants[None]
+        for j in range(tables.shape[1]):
+            out += tables[:, j][:, codes[:, j]]
         return out
 
 
@@ -82,13 +92,44 @@ def fit_index(x: np.ndarray, n: int) -> IvfPq:
     return model
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = PROBE_SHARE, rerank: int = RERANK) -> DataFrame:
+class Group:
+    """The lists of one group: ids, vectors and codes, ordered by list and id."""
+
+    def __init__(self, model: IvfPq, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, codes: np.ndarray):
+        order = np.lexsort((ids, lists))
+        self.model, self.ids, self.x, self.codes = model, ids[order], x[order], codes[order]
+        self.names, starts = np.unique(lists[order], return_index=True)
+        self.slices = [slice(lo, hi) for lo, hi in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        self.constants = model.constants(lists[order], self.codes)
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, visits: list[np.ndarray], k: int, rerank: int) -> tuple[list, int]:
+        """(query ids, vector ids, distances) of the k nearest of each query, and how many were measured exactly."""
+        guess, tables = np.full((len(q), len(self.ids)), np.inf), self.model.tables(q)
+        for name, at in zip(self.names, self.slices, strict=True):
+            asked = np.flatnonzero([name in v for v in visits])
+            if len(asked):
+                guess[asked, at] = self.model.distances(q[asked], name, self.codes[at], self.constants[at], tables[asked])
+        guess[q_ids[:, None] == self.ids[None]] = np.inf
+        out: list[list[np.ndarray]] = [[], [], []]
+        measured = 0
+        for i, row in enumerate(guess):
+            found = smallest(row, self.ids, max(rerank, k))
+            exact = np.sqrt(((self.x[found] - q[i]) ** 2).sum(axis=1))
+            order = np.lexsort((self.ids[found], exact))[:k]
+            measured += len(found)
+            for column, values in zip(out, (np.full(len(order), q_ids[i]), self.ids[found][order], exact[order]), strict=True):
+                column.append(values)
+        return out, measured
+
+
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = PROBE_SHARE, rerank: int = RERANK, group_rows: int = GROUP_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query but itself, by Euclidean distance in doubles.
 
-    Lists above one and a half times the mean size are split into shards by the hash of vec_id, and queries come in
-    blocks, so a task's group is bounded also where one list holds a third of all vectors. A query visits probe_share of
-    the lists, and further ones, by nearness, until these hold k candidates. Nothing is broadcast but the
-    fitted centroids and code books, whose size is bounded.
+    Lists are put together to groups of about group_rows vectors, larger ones split by the hash of vec_id and input partition, so a task's
+    group is bounded also where one list holds a third of all vectors. A query goes to the groups that hold lists it
+    visits: probe_share of all, and further ones, by nearness, until these hold k candidates. In each group, table
+    distances over all its visited lists choose rerank candidates, which are measured exactly. probe_share=1 with a
+    rerank of group_rows is exact. Only the fitted centroids and code books, whose size is bounded, go to all tasks.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
     ids and vectors of an unusual size; ties go to the smaller vec_id; equal rows are found each; fewer than k
@@ -106,64 +147,71 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     n_lists = len(model.centroids)
     probes = max(1, math.ceil(probe_share * n_lists))
 
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(n_lists, np.int64)
+        for b in batches:
+            if b.num_rows:
+                sizes += np.bincount(nearest(matrix(b.column(0), d), model.centroids), minlength=n_lists)
+        at = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sizes[at])], names=["list", "n"])
+
+    counted = kept.select("v").mapInArrow(assigned, "list int, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    sizes = {r["list"]: r["n"] for r in counted.collect()}  # one row per list, at most MOST_LISTS
+    rows = max(FEWEST_ROWS, min(group_rows, -(-n // FEWEST_GROUPS)))
+    # The first group of each list, and the groups it is dealt out to if it is large.
+    first, shards, now, filled = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64), 0, 0
+    for i in range(n_lists):
+        size = sizes.get(i, 0)
+        if filled and filled + size > rows:
+            now, filled = now + 1, 0
+        first[i], shards[i] = now, max(1, -(-size // rows))
+        now, filled = (now, filled + size) if shards[i] == 1 else (now + shards[i], 0)
+    groups = int((first + shards).max())
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 lists, codes = model.codes(matrix(b.column(1), d))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "v", "codes"])
+                spread = b.column(2).to_numpy() % shards[lists]
+                more = [int(i).to_bytes(4, "little") + c.tobytes() for i, c in zip(lists, codes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(first[lists] + spread, pa.int32()), b.column(0), b.column(1), pa.array(more, pa.binary())], names=["g", "id", "v", "more"])
 
     kind = kept.schema["v"].dataType.simpleString()
-    indexed = kept.mapInArrow(index, f"list int, vec_id long, v {kind}, codes binary")
-    sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # one row per list, at most MOST_LISTS
-    fair = max(64, math.ceil(1.5 * n / n_lists))
-    shards = [max(1, -(-sizes.get(i, 0) // fair)) for i in range(n_lists)]
-    shard_of = F.element_at(F.array(*[F.lit(s) for s in shards]), F.col("list") + 1)
-    salted = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shard_of).cast("int"))
-
+    hashed = kept.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(1 << 30)).alias("h"))
+    indexed = hashed.mapInArrow(index, f"g int, id long, v {kind}, more binary")
     most_own = kept.groupBy("vec_id").count().agg(F.max("count")).first()[0]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (model.centroids**2).sum(axis=1) / 2
         held = np.array([sizes.get(i, 0) for i in range(n_lists)])
-        filled = held > 0
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                near = np.where(filled, half - matrix(b.column(1), d) @ model.centroids.T, np.inf)
+                near = np.where(held > 0, half - matrix(b.column(1), d) @ model.centroids.T, np.inf)
                 order = np.argsort(near, axis=1, kind="stable")
                 # Lists beyond the share are visited while those before them may hold fewer than k rows besides the query's.
                 chosen = (np.cumsum(held[order], axis=1) - held[order] < k + most_own) | (np.arange(n_lists) < probes)
-                pairs = [(i, c, s) for i, row in enumerate(order) for c in row[chosen[i]] if filled[c] for s in range(shards[c])]
-                yield pa.RecordBatch.from_arrays([*(pa.array([p[j] for p in pairs], pa.int32()) for j in (1, 2)), *(b.column(j).take(pa.array([p[0] for p in pairs], pa.int64())) for j in (0, 1))], names=["list", "shard", "query_id", "v"])
-
-    n_asked = asked.count()
-    blocks = max(1, -(-n_asked // QUERY_BLOCK))
-    visits = asked.mapInArrow(visit, f"list int, shard int, query_id long, v {kind}").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    copies = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return HITS.empty_table()
-        ids, q_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-        x, q = matrix(left.column("v"), d), matrix(right.column("v"), d)
-        codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        out: list[list[np.ndarray]] = [[], [], []]
-        own = left.column("list")[0].as_py()
-        for at in range(0, len(q), 128):
-            part, part_ids = q[at : at + 128], q_ids[at : at + 128]
-            guess = model.distances(part, own, codes)
-            guess[part_ids[:, None] == ids[None]] = np.inf
-            for i, row in enumerate(guess):
-                found = np.lexsort((ids, row))[: max(rerank, k)]
-                found = found[np.isfinite(row[found])]
-                exact = np.sqrt(((x[found] - part[i]) ** 2).sum(axis=1))
-                found, exact = (v[np.lexsort((ids[found], exact))[:k]] for v in (found, exact))
-                out[0].append(np.full(len(found), part_ids[i]))
-                out[1].append(ids[found])
-                out[2].append(exact)
-        return pa.table([np.concatenate(c) for c in out], schema=HITS)
-
-    keys = ["list", "shard", "block"]
-    hits = copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    return best(hits, k, ascending=True)
+                of, g, more = [], [], []
+                for i, row in enumerate(order):
+                    visited: dict[int, list[int]] = {}
+                    for c in row[chosen[i]]:
+                        for s in range(shards[c] if held[c] else 0):
+                            visited.setdefault(int(first[c]) + s, []).append(c)
+                    of += [i] * len(visited)
+                    g += visited
+                    more += [np.array(v, "<i4").tobytes() for v in visited.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *(b.column(j).take(pa.array(of, pa.int64())) for j in (0, 1)), pa.array(more, pa.binary())], names=["g", "id", "v", "more"])
+
+    visits = asked.mapInArrow(visit, f"g int, id long, v {kind}, more binary")
+
+    def build(t: pa.Table) -> Group:
+        more = np.frombuffer(b"".join(t.column("more").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return Group(model, t.column("id").to_numpy(), matrix(t.column("v"), d), more[:, :4].copy().view("<i4")[:, 0], more[:, 4:])
+
+    def scan(group: Group, b: pa.RecordBatch) -> pa.RecordBatch:
+        visited = [np.frombuffer(v, "<i4") for v in b.column("more").to_pylist()]
+        found, _ = group.search(b.column("id").to_numpy(), matrix(b.column("v"), d), visited, k, rerank)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(found, HITS, strict=True)], schema=HITS)
+
+    return best(streamed(indexed, visits, groups, build, scan, QUERY_STEP, "query_id long, vec_id long, score double"), k, ascending=True)

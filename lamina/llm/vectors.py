@@ -1,7 +1,11 @@
-"""What both vector searches share: which vectors take part, and the exact merge of partial top lists."""
+"""What both vector searches share: which vectors take part, groups that queries stream past, and the exact merge of
+partial top lists."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +41,48 @@ def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def streamed(index: DataFrame, queries: DataFrame, groups: int, build: Callable[[pa.Table], Any], search: Callable[[Any, pa.RecordBatch], pa.RecordBatch], step: int, kinds: str) -> DataFrame:
+    """What search finds for the queries of each group g in the group's index; both sides have (g, id, v, more).
+
+    A task holds the index of one group, built once, while the group's queries stream past it, step at a time: nothing
+    of the index is copied for further queries, and a group needs memory for its index alone.
+    """
+    sides = [df.select("g", F.lit(kind).alias("kind"), "id", "v", F.col("more").cast("binary").alias("more")) for kind, df in enumerate((index, queries))]
+    dealt = sides[0].union(sides[1]).repartitionById(groups, F.col("g")).sortWithinPartitions("g", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, built = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column("g").to_numpy() * 2 + b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                g, kind = divmod(int(at[lo]), 2)
+                if g != now:
+                    now, held, built = g, [], None
+                if not kind:
+                    held.append(b.slice(lo, hi - lo))
+                    continue
+                if held:
+                    built, held = build(pa.Table.from_batches(held)), []
+                for first in range(lo, hi if built is not None else lo, step):
+                    yield search(built, b.slice(first, min(step, hi - first)))
+
+    return dealt.mapInArrow(run, kinds)
+
+
+def smallest(values: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest finite values, ties to the smaller id."""
+    if len(values) > n:
+        bound = np.partition(values, n - 1)[n - 1]
+        places = np.flatnonzero(values <= bound)
+    else:
+        places = np.arange(len(values))
+    places = places[np.isfinite(values[places])]
+    return places[np.lexsort((ids[places], values[places]))[:n]]
+
+
 def best(hits: DataFrame, k: int, ascending: bool) -> DataFrame:
     """The first k hits of each query, ties to the smaller vec_id, with their rank from 1."""
     order = [F.col("score").asc() if ascending else F.col("score").desc(), F.col("vec_id").asc()]
