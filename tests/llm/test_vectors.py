@@ -4,8 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lamina.llm.ann import IvfPq, fit_index, search
-from lamina.llm.impact import ImpactIndex, top_k
+from lamina.llm.ann import Group, IvfPq, fit_index, search
+from lamina.llm.impact import ImpactIndex, floors, integers, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -108,3 +108,84 @@ def test_few_candidates_in_the_nearest_lists(spark):
     assert [i for _, i in got] == [0, 0, 2, *range(3, 10)]
     once = sorted((r["rank"], r.vec_id) for r in search(df, df.where("vec_id = 0").limit(1)).collect())
     assert [i for _, i in once] == [1, 2, *range(3, 11)]
+
+
+def test_visiting_all_lists_is_exact(spark):
+    df = spark.createDataFrame(rows(300, 8, 4), SCHEMA).repartition(4)
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    got = defaultdict(list)
+    for r in sorted(search(df, queries(df), probe_share=1.0, rerank=300, group_rows=40).collect()):
+        got[r.query_id].append(r.vec_id)
+    for q, found in got.items():
+        assert found == [i for _, i in sorted((float(np.sqrt(((x[q] - v) ** 2).sum())), i) for i, v in x.items() if i != q)[:10]]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_with_production_parameters(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    held = df.collect()
+    ids, x = np.array([r.vec_id for r in held]), np.array([r.embedding for r in held], np.float64)
+    got = defaultdict(set)
+    for r in search(df, queries(df)).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for at in np.flatnonzero(ids % 100 == 0):
+        far = ((x - x[at]) ** 2).sum(axis=1)
+        far[at] = np.inf
+        want = set(ids[np.lexsort((ids, far))[:10]].tolist())
+        hits, total = hits + len(want & got[ids[at]]), total + 10
+    assert total and hits / total >= 0.9
+
+
+def test_codes_choose_what_is_measured():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 16))
+    model = fit_index(x, len(x))
+    lists, codes = model.codes(x)
+    group = Group(model, np.arange(4000), x, lists, codes)
+    every = [np.unique(lists)] * 20
+    found, measured = group.search(np.arange(20), x[:20], every, 10, 64)
+    assert measured == 20 * 64
+    far = ((x[:20, None] - x[None]) ** 2).sum(axis=2)
+    far[np.arange(20), np.arange(20)] = np.inf
+    want = np.argsort(far, axis=1)[:, :10]
+    assert sum(len(set(w) & set(f.tolist())) for w, f in zip(want, found[1], strict=True)) >= 180
+    assert group.search(np.array([0]), x[:1], [np.zeros(0, int)], 10, 64)[1] == 0
+
+
+def test_planes_floors_and_ranges(spark):
+    """Whatever the values' size, sign and number, and whether a floor is known: the same as brute force."""
+    rng = np.random.default_rng(6)
+    for high, n in ((3, 40), (1000, 900), (1 << 20, 500), (1, 5)):
+        x = rng.integers(-high, high, (n, 6))
+        x[n // 3 : n // 2] = x[0]
+        ids = rng.permutation(n)
+        q, q_ids = x[:8], ids[:8]
+        index = ImpactIndex(ids, x)
+        for floor in (None, floors(q_ids, q, ids[::3], x[::3], 4)):
+            of, found, scores, _ = index.search(q_ids, q, 4, floor)
+            for i in range(len(q)):
+                full = x @ q[i]
+                want = [j for j in np.lexsort((ids, -full)) if ids[j] != q_ids[i]][:4]
+                assert found[of == q_ids[i]].tolist() == ids[want].tolist() and scores[of == q_ids[i]].tolist() == full[want].tolist()
+    with pytest.raises(ValueError):
+        integers(np.array([[2.0**50]]), 1024)
+    with pytest.raises(ValueError):
+        ImpactIndex(np.arange(2), np.array([[1 << 40], [1]])).search(np.array([7]), np.array([[1 << 40]]), 1)
+    huge = spark.createDataFrame([(0, [2.0**30], ""), (1, [2.0**30], "")], "vec_id long, embedding array<double>, score string")
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(huge, huge).collect()
+
+
+def test_a_repeated_id_and_queries_beyond_a_step(spark):
+    rng = np.random.default_rng(12)
+    data = [(i if i % 3 else 7, [float(v) for v in rng.normal(size=4)], "") for i in range(1, 900)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string").repartition(6)
+    asked = df.where("vec_id % 4 = 1")
+    kept = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v, _ in data]
+    got = defaultdict(list)
+    for r in sorted(top_k(df, asked, group_rows=50).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, v in kept:
+        if q % 4 == 1:
+            assert got[q] == [(i, -s) for s, i in sorted((-int(v @ x), i) for i, x in kept if i != q)[:10]]
