@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import Sink, rows
+from .shared import Sink, bounded, rows
 from .wordbpe import word_bpe
 
 #: Tokens of a shard, after which a document starts the next one.
@@ -22,6 +22,8 @@ SHARD_TOKENS = 2_000_000
 #: Neighbours that a seed's first request returns; each further one returns twice as many.
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
+#: Terms that more than one in DENSE_SHARE documents of a shard holds have a row over all of these.
+DENSE_SHARE = 8
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int32())))
@@ -43,20 +45,30 @@ class Bm25Shard:
         norm = K1 * (1 - B + B * size / max(size.mean() if n else 1.0, 1e-9))
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
         self.terms = terms
-        self.asked = np.where(df[terms] > 1, self.weight, 0.0)  # a term that no other document holds finds nothing
         order = np.argsort(terms.astype(np.uint16) if len(df) <= 65536 else terms, kind="stable")
         self.docs, self.impact = owner[order], self.weight[order]
         self.ptr = np.concatenate([[0], np.cumsum(df)])
         self.unused = np.ones(n, bool)
+        # Long posting lists are kept as rows over all documents, which add up faster; terms that no other document
+        # holds find nothing.
+        long = np.flatnonzero(df * DENSE_SHARE > max(n, DENSE_SHARE))
+        self.row = np.full(len(df), -1)
+        self.row[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), n), np.float32)
+        kept = self.row[terms] >= 0
+        self.dense[self.row[terms[kept]], owner[kept]] = self.weight[kept]
+        self.listed = (df > 1) & (self.row < 0)
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents, by all terms of the seed."""
-        lo, hi = self.at[seed], self.at[seed + 1]
-        terms = self.terms[lo:hi][self.asked[lo:hi] > 0]
+        asked = self.terms[self.at[seed] : self.at[seed + 1]]
+        rows = self.row[asked]
+        out = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        terms = asked[self.listed[asked]]
         parts = [slice(a, b) for a, b in zip(self.ptr[terms].tolist(), self.ptr[terms + 1].tolist(), strict=True)]
-        if not parts:
-            return np.zeros(len(self.unused))
-        return np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.impact[p] for p in parts]), len(self.unused))
+        if parts:
+            out += np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.impact[p] for p in parts]), len(out))
+        return out
 
     def best(self, score: np.ndarray, most: int) -> np.ndarray:
         """Unused documents of the highest scores above 0, best first; ties go to the earlier document."""
@@ -165,4 +177,4 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             yield sink.batch()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, kinds)
+    return bounded(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))).mapInArrow(run, kinds)

@@ -20,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: The split pattern and the normaliser that the fast path stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
+#: Chunks that a worker keeps, and their bytes at most: some 60 MB in all.
+CHUNKS, LONGEST = 300_000, 48
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _SIGNS = b".,;:!?*%$#&()-"
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -39,23 +41,25 @@ def byte_alphabet() -> list[str]:
 
 
 class Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes; starts anew at the bound."""
+    """chunk -> its ids as little-endian unsigned 32-bit bytes; starts anew at the bound, and holds no long chunks."""
 
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most = encode, most
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = self.encode(chunk)
+        out = self.encode(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
         return out
 
 
 class WordBpe:
     """Ids of whole texts, equal to tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = CHUNKS):
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
         self.path, self.library = path, None
@@ -138,8 +142,10 @@ class WordBpe:
         data = (text or "").encode("utf-8", "replace")
         if self.fast is None:
             return self._by_library(data.decode())
-        get = self.chunks.__getitem__
-        return b"".join([b"".join(map(get, part.split())) for part in text_slices(data)])
+        get, low = self.chunks.__getitem__, data.lower()  # the normaliser lowers too; bytes.lower() changes A-Z alone
+        if any(m in low for m in self.marks):  # these alone mind the case
+            low = data
+        return b"".join([b"".join(map(get, part.split())) for part in text_slices(low)])
 
 
 _made: dict[str, WordBpe] = {}
