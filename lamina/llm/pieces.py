@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import Sink, rows
+from .shared import Sink, bounded, rows
 
 #: Fixed values of the model format: the word mark, piece types and the kind of model.
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
+#: Words that a worker keeps, and their characters at most: some 60 MB in all.
+WORDS, LONGEST = 200_000, 48
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_source_bytes", pa.int64())])
@@ -87,7 +89,7 @@ class CharMap:
 class PieceEncoder:
     """Encodes as the sentencepiece library does for BPE models with byte fallback; no begin or end ids, no sampling."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = WORDS):
         with open(path, "rb") as f:
             model = list(wire(f.read()))
         trainer, normalizer = (dict(wire(next((v for k, v in model if k == n), b""))) for n in (2, 3))
@@ -196,10 +198,12 @@ class PieceEncoder:
         """Ids and normalised bytes of one marked word, packed as unsigned 32-bit integers."""
         out = self.words.get(w)
         if out is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
             ids, sizes = self.segment(MARK + w)
-            out = self.words[w] = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes)
+            out = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes)
+            if len(w) <= LONGEST:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[w] = out
         return out
 
     def normalize(self, data: bytes) -> tuple[bytes, np.ndarray]:
@@ -314,7 +318,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return bounded(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")))
 
 
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
