@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sink, rows, text_slices
+from .shared import Sink, bounded, rows, text_slices
 
 #: Hash buckets of the byte n-grams of one to three bytes.
 BUCKETS_LOG2 = 13
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if sink.n:
             yield sink.batch()
 
-    got = sorted(sample.select(F.col("id").cast("string"), "text", "lang").mapInArrow(run, "id string, lang string, at binary, n binary").collect())
+    got = sorted(bounded(sample.select(F.col("id").cast("string"), "text", "lang")).mapInArrow(run, "id string, lang string, at binary, n binary").collect())
     counts = np.zeros((len(got), 1 << BUCKETS_LOG2), np.float32)
     for row, r in zip(counts, got, strict=True):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: CentroidModel, *, text_col: str = "text", l
                 new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, lang_pred, score, rejected])
 
-    return docs.mapInArrow(run, f"{kinds}, `{lang_pred}` string, `{score}` double, `{rejected}` boolean")
+    return bounded(docs).mapInArrow(run, f"{kinds}, `{lang_pred}` string, `{score}` double, `{rejected}` boolean")
 
 
 def held_out(doc_id) -> F.col:
