@@ -563,7 +563,11 @@ for _name, _text, _sql, *_tables in (
 
 def _scratch(spark, name: str) -> str:
     """A new path where all executors can write: below spark.checkpoint.dir, or a local folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamina-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lamina-")
     return f"{base.rstrip('/')}/lamina/{uuid.uuid4().hex}/{name}"
 
 
@@ -637,3 +641,6 @@ def transform_callback(spark, sf_dir):
 
 def _tell(rows: list[list[Any]], say: Callable) -> None:
     say(rows[0][0], len(rows))
+
+
+from . import queries_flow  # noqa: E402, F401  registers the queries of user functions, scripts and pipelines
