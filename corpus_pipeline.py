@@ -18,13 +18,22 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the centroids know; those rejected, or without letters, go."""
+    """Documents in a language that the centroids know; those rejected, or without letters, go.
+
+    Defined cases: null, empty and letterless texts go; without a labelled text there are no centroids and all documents
+    go; repeated rows and ids, and null ids, are judged each by its text; other columns are dropped; an empty table
+    stays empty.
+    """
     known = identify(docs.select(*COLUMNS), fit(docs))
     return known.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; every document stays, and n_chars follows its text."""
+    """Lines that ten documents or more hold go; every document stays, and n_chars follows its text.
+
+    Defined cases: a null text becomes empty; a document all of whose lines go stays with an empty text; repeated rows
+    count as documents each; null ids stay; other columns are dropped; an empty table stays empty.
+    """
     out = drop_common_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -33,6 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near-duplicates (similarity 0.8 or more), that with the smallest id, stays.
 
     Where ids are null or repeated they cannot tell rows apart: rows then get numbers in the order of ids, nulls last.
+    Defined cases: texts without words, null ones among them, have no copies and stay; equal rows are copies, of which
+    one stays; of rows that tie in id any one stays; other columns are dropped; an empty table stays empty.
     """
     docs, key = docs.select(*COLUMNS), "doc_id"
     if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
@@ -44,7 +55,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens."""
+    """The pieces of sequences of 2048 tokens.
+
+    Defined cases: a null or empty text is its end token alone; null ids and repeated rows are packed each; a text longer
+    than a window is cut; an empty table gives no rows.
+    """
     return pack(docs, WORD_TOKENIZER)
 
 
