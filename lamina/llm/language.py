@@ -15,8 +15,8 @@ from .shared import Sink, bounded, rows, text_slices
 
 #: Hash buckets of the byte n-grams of one to three bytes.
 BUCKETS_LOG2 = 13
-#: Bounds of the fitting sample: texts of a language (about), languages (the most frequent), centroids of a language.
-SAMPLE_PER_LANGUAGE, LANGUAGES, CENTROIDS = 400, 500, 4
+#: Bounds of the fitting sample: texts of a language (about), centroids of a language.
+SAMPLE_PER_LANGUAGE, CENTROIDS = 400, 4
 #: Share of the smallest cosine that a sample text has to its own language, below which a text is rejected.
 REJECT_SHARE = 0.25
 UNDETERMINED = "und"
@@ -104,12 +104,14 @@ def fit_counts(languages: list[str], counts: np.ndarray, centroids: int = CENTRO
     return model
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> CentroidModel:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, most_languages: int | None = None) -> CentroidModel:
     """Fits on a bounded sample of labelled rows: of each language a share of rows, chosen by the hash of their ids,
     that makes about per_language; only sparse counts come to the driver. Null texts, labels and ids are left out.
+    most_languages limits the fit to the most frequent labels, for label columns that hold noise; as it stands all count.
     """
     known = labelled.select(labelled[id_col].alias("id"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).dropna()
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = (sizes.limit(most_languages) if most_languages else sizes).collect()  # one row per label
     if not sizes:
         return fit_counts([], np.zeros((0, 1 << BUCKETS_LOG2)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["n"]))])

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +74,51 @@ def test_fold(spark):
 
     got = spark.range(200).withColumn("out", held_out(F.col("id"))).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def plain_vector(text, idf=None):
+    """Hashed counts of byte n-grams, then TF-IDF of length 1, in plain Python."""
+    letters = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    data = b" " + b" ".join(letters.split()) + b" "
+    counts = {}
+    for n, mark in ((1, 1 << 31), (2, 1 << 30), (3, 0)):
+        for at in range(len(data) - n + 1):
+            bucket = ((int.from_bytes(data[at : at + n], "big") | mark) * 2654435761 % (1 << 32)) >> 19
+            counts[bucket] = counts.get(bucket, 0) + 1
+    if idf is None:
+        return counts
+    v = {b: math.log1p(c) * idf[b] for b, c in counts.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {b: x / size for b, x in v.items()}
+
+
+def test_against_brute_force(spark, rows):
+    """Counts, document frequencies, vectors, cosines and the nearest centroid, computed apart from the operator."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = fit(df, per_language=10**6)
+    df_of = Counter(b for r in rows for b in plain_vector(r[1]))
+    idf = {b: math.log((1 + len(rows)) / (1 + df_of.get(b, 0))) + 1 for b in range(1 << 13)}
+    assert np.allclose(model.idf, [idf[b] for b in range(1 << 13)])
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1)
+    got = {r.doc_id: r for r in identify(df, model).collect()}
+    nearest = []
+    for i, text_, _, _ in rows:
+        assert {int(b): int(c) for b, c in enumerate(ngram_counts(text_)) if c} == plain_vector(text_)
+        v = plain_vector(text_, idf)
+        cosines = [sum(x * c[b] for b, x in v.items()) for c in model.centroids.tolist()]
+        best = max(range(len(cosines)), key=lambda j: cosines[j])
+        nearest.append(best)
+        assert got[i].lang_pred == model.languages[best] and got[i].score == pytest.approx(cosines[best]) and got[i].rejected == (cosines[best] < model.reject)
+    # Each centroid lies at the mean of the texts that are nearest to it.
+    for j, c in enumerate(model.centroids):
+        own = [plain_vector(r[1], idf) for r, b in zip(rows, nearest, strict=True) if b == j]
+        mean = np.zeros(1 << 13)
+        for v in own:
+            for b, x in v.items():
+                mean[b] += x
+        assert not own or float(mean @ c / np.linalg.norm(mean)) > 0.99
+
+
+def test_labels_beyond_a_limit(spark):
+    df = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8] * 5} {'abcdefgh'[i % 8] * 3}", f"l{i % 8}", "") for i in range(64)] + [(99, "zzzz zz", "odd", "")], SCHEMA)
+    assert len(set(fit(df).languages)) == 9 and len(set(fit(df, most_languages=8).languages)) == 8

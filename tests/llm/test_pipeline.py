@@ -1,4 +1,5 @@
 import importlib.util
+import random
 from collections import Counter
 
 import pytest
@@ -50,3 +51,44 @@ def test_near_duplicates_go_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "x", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert Counter(got) == Counter([(3, a), (5, b), (9, c), (None, d), (None, None), (None, "")])
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.skipif(pipeline is None, reason="the pipeline is not there")
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.collect() == [] and (name == "packing" or out.columns == COLUMNS)
+
+
+@pytest.mark.skipif(pipeline is None, reason="the pipeline is not there")
+def test_stages_on_odd_rows(spark):
+    """Very long texts, repeated rows and ids, null ids, ties and columns named like those that the stages work with."""
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("sun", "moon", "star") for b in ("light", "shine", "beam") for c in ("er", "ing", "s", "")]
+    prose = lambda n: " ".join(rng.choice(words) + str(rng.randrange(1000)) * (rng.random() < 0.3) for _ in range(n))
+    long, plain, other = prose(150_000), prose(80), prose(90)
+    rows = [(1, long), (2, long + " end"), (3, plain), (3, plain), (4, other), (4, prose(70)), (None, prose(60)), (None, plain), (5, None), (6, ""), (7, "common\n" + prose(50))]
+    rows += [(10 + i, f"Common \n{prose(40)}") for i in range(10)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred int, score string, rejected string, n_lines string, n_dropped string, __rk string, __kept string, row string, place string, kept string, component_id string"
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or ""), *[None] * 11) for i, t in rows], schema).repartition(5)
+    language, lines, duplicates, packing = (f for _, f in pipeline.STAGES)
+    first = language(spark, docs, SF)
+    assert first.columns == COLUMNS and Counter(r.doc_id for r in first.collect()) == Counter(i for i, t in rows if t)
+    second = lines(spark, docs, SF)
+    held = Counter((r.doc_id, r.text, r.n_chars) for r in second.collect())
+    cut = [(i, "\n".join(x for x in (t or "").split("\n") if x.strip().lower() != "common")) for i, t in rows]
+    assert second.columns == COLUMNS and held == Counter((i, t, len(t)) for i, t in cut)
+    third = duplicates(spark, docs, SF)
+    left = Counter((r.doc_id, r.text) for r in third.collect())
+    gone = [(2, long + " end"), (3, plain), (None, plain)]
+    assert third.columns == COLUMNS and left == Counter(rows) - Counter(gone)
+    pieces = packing(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in rows)
+    sequences = Counter()
+    for r in pieces:
+        sequences[r.sequence_id] += r.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values()) and max(r.length for r in pieces) == 2048
