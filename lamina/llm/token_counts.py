@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Sink, rows, scratch
+from .shared import Sink, bounded, rows, scratch, stored
 from .wordbpe import word_bpe
 
 COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
@@ -45,7 +45,7 @@ def encode_counts(misses: DataFrame, tokenizer: str) -> DataFrame:
         if sink.n:
             yield sink.batch()
 
-    return misses.mapInArrow(run, STORED)
+    return bounded(misses).mapInArrow(run, STORED)
 
 
 def _cache(spark: SparkSession, path: str) -> DataFrame | None:
@@ -59,8 +59,8 @@ def _cache(spark: SparkSession, path: str) -> DataFrame | None:
 def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (more than limit tokens).
 
-    cache: a folder that only grows, one subfolder per tokenizer version, with one writer at a time; None: a new one in
-    the shared folder. Content is keyed by the SHA-256 digest of its normal form (null is empty; for a tokenizer that
+    cache: a folder that only grows, one subfolder per tokenizer version; None: a new one in the shared folder. Writers that
+    work at the same time may both add a digest, which then counts once. Content is keyed by the SHA-256 digest of its normal form (null is empty; for a tokenizer that
     drops outer blanks these are dropped). Each distinct text that the cache lacks is encoded once, however many copies
     there are: copies are merged before the shuffle, and the join that brings counts back can be split at hot digests.
 
@@ -72,10 +72,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     content = F.trim(text) if tokenizer.endswith(".json") and word_bpe(tokenizer).fast else text
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("text"))
-    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    known = _cache(spark, path)
-    misses = distinct if known is None else distinct.join(known, "digest", "left_anti")
+    known, wanted = _cache(spark, path), keyed
+    if known is not None:  # digests alone meet the cache; only misses move their texts
+        missed = keyed.select("digest").distinct().join(known, "digest", "left_anti")
+        wanted = keyed.join(missed, "digest", "left_semi")
+    misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
     encode_counts(misses.select("digest", "text"), tokenizer).write.mode("append").parquet(path)
     counts = spark.read.schema(STORED).parquet(path)
+    if cache:  # Two writers may have added the same digest: it counts once. Written, so that the join can be split.
+        counts = stored(counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     out = keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -244,3 +244,15 @@ def test_all_terms_of_a_seed_ask():
     seed = np.repeat(np.arange(30, dtype=np.uint32), 2)
     docs = [seed, *(np.array([t, 100 + t], np.uint32) for t in range(30))]
     assert np.count_nonzero(Bm25Shard(docs).scores(0)[1:]) == 30
+
+
+def test_a_digest_that_was_added_twice_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "some words"), (2, "others"), (3, "some words")], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = sorted(count_tokens(df, path, cache=str(tmp_path)).collect())
+    for folder in tmp_path.iterdir():  # another writer adds the same digests
+        held = spark.read.parquet(str(folder)).collect()
+        spark.createDataFrame(held, "digest binary, n_tokens long").write.mode("append").parquet(str(folder))
+    more = df.union(spark.createDataFrame([(4, "a new text")], df.schema))
+    got = sorted(count_tokens(more, path, cache=str(tmp_path)).collect())
+    assert got[:3] == first and len(got) == 4
