@@ -19,6 +19,8 @@ BUCKETS_LOG2 = 13
 SAMPLE_PER_LANGUAGE, CENTROIDS = 400, 4
 #: Share of the smallest cosine that a sample text has to its own language, below which a text is rejected.
 REJECT_SHARE = 0.25
+#: Texts whose vectors are laid out at once.
+STEP = 64
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -60,8 +62,9 @@ class CentroidModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected); und, 0 and rejected for null, for a text without letters and for an empty model."""
         out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, True)] * len(texts)
-        live = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
-        if live:
+        every = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        for first in range(0, len(every), STEP):
+            live = every[first : first + STEP]
             cosines = self.vectors(np.array([ngram_counts(texts[i]) for i in live])) @ self.centroids.T
             for i, best, c in zip(live, cosines.argmax(axis=1), cosines.max(axis=1), strict=True):
                 out[i] = self.languages[best], float(min(max(c, 0.0), 1.0)), bool(c < self.reject)
@@ -85,17 +88,26 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_counts(languages: list[str], counts: np.ndarray, centroids: int = CENTROIDS) -> CentroidModel:
-    """From hashed counts of labelled texts. Ties between languages go to the smaller name."""
-    n = len(languages)
-    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1 if n else np.ones(1 << BUCKETS_LOG2)
-    model = CentroidModel([], np.zeros((0, 1 << BUCKETS_LOG2)), idf, 0.0)
+def fit_counts(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], centroids: int = CENTROIDS) -> CentroidModel:
+    """From (buckets, counts) of labelled texts; the texts of one language are laid out at a time. Ties between languages
+    go to the smaller name."""
+    n, size = len(languages), 1 << BUCKETS_LOG2
+    held = np.zeros(size)
+    for at, _ in counts:
+        held[at] += 1
+    idf = np.log((1 + n) / (1 + held)) + 1 if n else np.ones(size)
+    model = CentroidModel([], np.zeros((0, size)), idf, 0.0)
     if not n:
         return model
-    v, named, worst = model.vectors(counts), np.array(languages), 1.0
-    parts = []
-    for name in sorted(set(languages)):
-        own = v[named == name]
+    parts, worst = [], 1.0
+    own_of: dict[str, list[int]] = {}
+    for i, name in enumerate(languages):
+        own_of.setdefault(name, []).append(i)
+    for name in sorted(own_of):
+        own = np.zeros((len(own_of[name]), size))
+        for row, i in zip(own, own_of[name], strict=True):
+            row[counts[i][0]] = counts[i][1]
+        own = model.vectors(own)
         c = _clusters(own, centroids)
         parts.append(c)
         model.languages += [name] * len(c)
@@ -131,9 +143,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield sink.batch()
 
     got = sorted(bounded(sample.select(F.col("id").cast("string"), "text", "lang")).mapInArrow(run, "id string, lang string, at binary, n binary").collect())
-    counts = np.zeros((len(got), 1 << BUCKETS_LOG2), np.float32)
-    for row, r in zip(counts, got, strict=True):
-        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
+    counts = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in got]
     return fit_counts([r["lang"] for r in got], counts, centroids)
 
 
