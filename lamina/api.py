@@ -16,12 +16,12 @@ from .operators.extensions import cotransformer, creator, module, output_cotrans
 from .operators.extensions import register, register_creator, register_module, register_output_transformer, register_outputter, register_parser, register_processor, register_transformer, transformer  # noqa: F401
 from .operators.frames import EmptyAwareIterable, Frames  # noqa: F401
 from .operators.joins import anti_join, broadcast, cross_join, full_outer_join, inner_join, intersect, join, left_outer_join, right_outer_join, semi_join, set_op, subtract, union
-from .operators.output import as_array, as_array_iterable, as_dict_iterable, as_dicts, assert_eq, assert_not_eq, frame, head, peek_array, peek_dict, show
+from .operators.output import as_array, as_array_iterable, as_dict_iterable, as_dicts, assert_eq, assert_not_eq, frame, head, peek_array, peek_dict, show, to_html
 from .operators.partition import PartitionSpec, current_parallelism, partition_spec, persist, repartition
 from .operators.relational import aggregate, alter_columns, assign, distinct, drop_columns, dropna, fillna, filter, normalize_column_names, rename, sample, select, select_columns, take  # noqa: A004
 from .operators.udf import PartitionCursor, cotransform, out_cotransform, out_transform, transform, zip_frames  # noqa: F401
 from .plans.flow import DEFAULTS, GLOBAL, Flow, register_global_conf  # noqa: F401
-from .plans.sql import raw_sql, xsql, xsql_flow
+from .plans.sql import load_ipython_extension, raw_sql, xsql, xsql_flow  # noqa: F401
 from .schema import format_schema, parse_schema, transform_schema
 from .sources.io import load, load_table, save, save_and_use, save_table, table_exists
 from .streaming.windows import sessions, windowed  # noqa: F401

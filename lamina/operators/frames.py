@@ -96,6 +96,8 @@ def kind_of(annotation: Any) -> str | None:
         return "pandas"
     if annotation in (pa.Table, pa.RecordBatch):
         return "arrow"
+    if getattr(annotation, "__module__", "").partition(".")[0] == "polars" and getattr(annotation, "__name__", "") == "DataFrame":
+        return "polars"
     if annotation is DataFrame or inspect.isclass(annotation) and issubclass(annotation, DataFrame):
         return "spark"
     if inspect.isclass(annotation) and issubclass(annotation, SparkSession):
@@ -114,9 +116,9 @@ def kind_of(annotation: Any) -> str | None:
         return {"list": "lists", "dict": "dicts"}.get(_item(args[0]) or "")
     if origin is EmptyAwareIterable and args:
         inner = _item(args[0])
-        return {"list": "lists_aware", "dict": "dicts_aware", "pandas": "pandas_aware", "arrow": "arrow_aware"}.get(inner or "")
+        return {"list": "lists_aware", "dict": "dicts_aware", "pandas": "pandas_aware", "arrow": "arrow_aware", "polars": "polars_aware"}.get(inner or "")
     if origin in (abc.Iterable, abc.Iterator, abc.Generator) and args:
-        return {"list": "lists_iter", "dict": "dicts_iter", "pandas": "pandas_iter", "arrow": "arrow_iter"}.get(_item(args[0]) or "")
+        return {"list": "lists_iter", "dict": "dicts_iter", "pandas": "pandas_iter", "arrow": "arrow_iter", "polars": "polars_iter"}.get(_item(args[0]) or "")
     if origin is dict or annotation is dict:
         return "dict" if origin is None or len(args) != 2 or kind_of(args[1]) not in ("pandas", "arrow", "spark") else f"frames_{kind_of(args[1])}"
     return None
@@ -128,19 +130,27 @@ def _item(annotation: Any) -> str | None:
         return "list"
     if annotation is dict or origin is dict:
         return "dict"
-    return {"pandas": "pandas", "arrow": "arrow"}.get(kind_of(annotation) or "")
+    return {"pandas": "pandas", "arrow": "arrow", "polars": "polars"}.get(kind_of(annotation) or "")
 
 
 def rows_of(table: pa.Table) -> Iterator[list]:
     return map(list, zip(*(c.to_pylist() for c in table.columns), strict=True))
 
 
+def _polars() -> Any:
+    """The library, which only functions that are annotated with its frames need."""
+    import polars
+
+    return polars
+
+
 def give(tables: Iterable[pa.Table], kind: str, schema: pa.Schema) -> Any:
     """Tables in the form that an input annotation asks for; whole forms gather all of them."""
     shape, _, way = kind.partition("_")
     parts = {
         "pandas": lambda t: [to_pandas(t)],
         "arrow": lambda t: [t],
+        "polars": lambda t: [_polars().from_arrow(t)],
         "lists": rows_of,
         "dicts": lambda t: t.to_pylist(),
     }[shape]
@@ -149,13 +159,15 @@ def give(tables: Iterable[pa.Table], kind: str, schema: pa.Schema) -> Any:
         return EmptyAwareIterable(found) if way == "aware" else found
     held = list(tables)
     whole = pa.concat_tables(held) if held else schema.empty_table()
-    return parts(whole)[0] if shape in ("pandas", "arrow") else list(parts(whole))
+    return parts(whole)[0] if shape in ("pandas", "arrow", "polars") else list(parts(whole))
 
 
 def take_back(out: Any, kind: str | None, schema: pa.Schema, batch: int = 4096) -> Iterator[pa.Table]:
     """The tables of a function's result; forms are told by the values where no annotation tells."""
     if out is None or kind == "none":
         return
+    if type(out).__module__.partition(".")[0] == "polars":
+        out = out.to_arrow()
     if isinstance(out, pd.DataFrame):
         yield from_pandas(out, schema)
     elif isinstance(out, pa.RecordBatch):
@@ -167,7 +179,7 @@ def take_back(out: Any, kind: str | None, schema: pa.Schema, batch: int = 4096)
     else:
         held: list = []
         for x in out:
-            if isinstance(x, (pd.DataFrame, pa.Table, pa.RecordBatch)):
+            if isinstance(x, (pd.DataFrame, pa.Table, pa.RecordBatch)) or type(x).__module__.partition(".")[0] == "polars":
                 yield from take_back(x, None, schema)
                 continue
             held.append(x if isinstance(x, dict) else dict(zip(schema.names, x, strict=True)))

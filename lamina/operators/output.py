@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from html import escape
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
@@ -108,6 +109,13 @@ def show(df: DataFrame, n: int = 10, with_count: bool = False, title: str | None
         print(f"{df.count()} rows")
 
 
+def to_html(df: DataFrame, n: int = 10, with_count: bool = False, title: str | None = None) -> str:
+    """What show() prints, as HTML; all values are escaped."""
+    parts = [f"<h3>{escape(title)}</h3>"] if title else []
+    parts += [f"<code>{escape(format_schema(df.schema))}</code>", df.limit(n).toPandas().to_html(index=False, border=0)]
+    return "\n".join(parts + [f"<p>{df.count()} rows</p>"] * with_count)
+
+
 def head(df: DataFrame, n: int, columns: list[str] | None = None) -> pa.Table:
     """The first rows, local."""
     return (select_columns(df, columns) if columns else df).limit(n).toArrow()
@@ -124,14 +132,26 @@ def peek_dict(df: DataFrame) -> dict[str, Any]:
     return dict(zip(df.columns, peek_array(df), strict=True))
 
 
-def as_array_iterable(df: DataFrame, columns: list[str] | None = None) -> Iterator[list]:
+def _safe(v: Any) -> Any:
+    """Plain Python values alone: structs are dicts, bytes are bytes, NaN is null."""
+    if isinstance(v, Row):
+        return {k: _safe(x) for k, x in v.asDict().items()}
+    if isinstance(v, dict):
+        return {k: _safe(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return [_safe(x) for x in v]
+    return bytes(v) if isinstance(v, bytearray) else None if isinstance(v, float) and math.isnan(v) else v
+
+
+def as_array_iterable(df: DataFrame, columns: list[str] | None = None, type_safe: bool = False) -> Iterator[list]:
     """Rows, a partition at a time."""
     for r in (select_columns(df, columns) if columns else df).toLocalIterator():
-        yield list(r)
+        yield [_safe(v) for v in r] if type_safe else list(r)
 
 
-def as_array(df: DataFrame, columns: list[str] | None = None) -> list[list]:
-    return [list(r) for r in (select_columns(df, columns) if columns else df).collect()]
+def as_array(df: DataFrame, columns: list[str] | None = None, type_safe: bool = False) -> list[list]:
+    found = (select_columns(df, columns) if columns else df).collect()
+    return [[_safe(v) for v in r] if type_safe else list(r) for r in found]
 
 
 def as_dict_iterable(df: DataFrame, columns: list[str] | None = None) -> Iterator[dict[str, Any]]:

@@ -1,3 +1,4 @@
+import gc
 from collections.abc import Callable
 from typing import Any
 
@@ -122,3 +123,30 @@ def test_mistakes(spark, text):
 def test_raw_sql(spark):
     a, b = frame(spark, [[1, 2]], "a:int,b:int"), frame(spark, [[1, 5]], "a:int,c:int")
     assert same(api.raw_sql("SELECT x.a, c FROM", a, "AS x JOIN", b, "AS y ON x.a = y.a"), [[1, 5]], "a:int,c:int", throw=True)
+
+
+def test_a_script_s_frame_outlives_its_checkpoints(spark, tmp_path):
+    out = api.xsql(X + "y = SELECT a FROM x WHERE a = 1 CHECKPOINT SELECT count(*) AS n FROM y", spark=spark, conf={"checkpoint_path": str(tmp_path), "auto_persist": True})
+    gc.collect()
+    assert out.collect()[0].n == 2
+
+
+def test_notebook_magic(spark):
+    class Shell:
+        def __init__(self):
+            self.user_ns = {"outer_frame": pd.DataFrame({"a": [5, 6], "s": ["<b>", "x"]})}
+
+        def register_magic_function(self, fn, kind, name):
+            assert (kind, name) == ("cell", "xsql")
+            self.magic = fn
+
+    shell = Shell()
+    api.load_ipython_extension(shell)
+    shown = shell.magic("kept", "SELECT a, s FROM outer_frame WHERE a = 5")
+    assert "&lt;b&gt;" in shown._repr_html_() and shell.user_ns["kept"].collect()[0].a == 5
+
+
+def test_html_and_plain_values(spark):
+    df = spark.createDataFrame([(1, (2, float("nan")), {"k": 1}, bytearray(b"x"), float("nan"))], "a int, b struct<x:int,y:double>, c map<string,int>, d binary, e double")
+    assert api.as_array(df, type_safe=True) == [[1, {"x": 2, "y": None}, {"k": 1}, b"x", None]] == list(api.as_array_iterable(df, type_safe=True))
+    assert "<h3>a &amp; b</h3>" in api.to_html(df, 1, True, "a & b") and "1 rows" in api.to_html(df, 1, True)

@@ -1,3 +1,5 @@
+import importlib.util
+import shutil
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -266,3 +268,23 @@ def test_runs_of_keys_over_batches(spark):
         assert [r.n for r in api.transform(nested, size, "n:long", partition={"by": "k"}).collect()] == [40]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_frames_of_a_third_library(spark, ab, tmp_path, monkeypatch):
+    """Functions annotated with polars frames get these; a stand-in takes the library's place, which need not be there."""
+    (tmp_path / "polars").mkdir()
+    (tmp_path / "polars" / "__init__.py").write_text("class DataFrame:\n    def __init__(self, t):\n        self.t = t\n    def to_arrow(self):\n        return self.t\n\ndef from_arrow(t):\n    return DataFrame(t)\n")
+    if importlib.util.find_spec("polars") is None:
+        monkeypatch.syspath_prepend(str(tmp_path))
+        spark.sparkContext.addPyFile(shutil.make_archive(str(tmp_path / "stand_in"), "zip", tmp_path, "polars"))
+    import polars
+
+    def whole(df: polars.DataFrame) -> polars.DataFrame:
+        return df
+
+    def parts(dfs: Iterable[polars.DataFrame]) -> Iterable[polars.DataFrame]:
+        yield from dfs
+
+    for fn, kind in ((whole, "polars"), (parts, "polars_iter")):
+        assert Signature.read(fn).frames[0][1] == kind and Signature.read(fn).output == kind
+        assert sorted(api.transform(ab, fn, "*", partition="a").collect(), key=str) == sorted(ab.collect(), key=str)
