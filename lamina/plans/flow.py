@@ -6,7 +6,6 @@ which a deterministic checkpoint is found again.
 
 from __future__ import annotations
 
-import atexit
 import datetime
 import dis
 import functools
@@ -447,7 +446,7 @@ class FlowFrame:
 
     def yield_table_as(self, name: str) -> None:
         def make(d: DataFrame, r: Run) -> str:
-            table = f"yielded_{self.step.uuid}"
+            table = f"yielded_{self.step.uuid}_{r.id[:12]}"  # of this run: a catalog that forgets leaves its folders behind
             io.save_table(d, table)
             return table
 
@@ -597,10 +596,9 @@ class Flow:
             raise
         out = FlowResult(r.yields, r.results)
         # Cached frames and temporary copies last as long as the result; if a frame leaves it, until the session ends.
-        if keep or any(isinstance(v, DataFrame) for v in r.yields.values()):
-            _release(spark, [], r.temporary, True)
-        else:
-            weakref.finalize(out, _release, spark, r.persisted, r.temporary, False)
+        _release(spark, [], r.temporary, True)
+        if not keep and not any(isinstance(v, DataFrame) for v in r.yields.values()):
+            weakref.finalize(out, _release, spark, r.persisted, r.temporary, False).atexit = False
         return out
 
 
@@ -614,13 +612,13 @@ def _release(spark: SparkSession, persisted: list[DataFrame], temporary: list[st
 
 
 def _drop(spark: SparkSession, path: str, later: bool) -> None:
-    if path.startswith("table:"):
-        table = path.removeprefix("table:")
-        if later:
-            atexit.register(lambda: spark.sparkContext._jsc and spark.sql(f"DROP TABLE IF EXISTS `{table}`"))
-        else:
-            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    """Deletes a temporary copy now, or leaves that to the JVM's end: Python's may find no JVM to ask any more."""
+    table = path.removeprefix("table:") if path.startswith("table:") else None
+    if table and not later:
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
         return
+    if table:
+        path = next(r.data_type for r in spark.sql(f"DESCRIBE FORMATTED `{table}`").collect() if r.col_name == "Location")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if later:

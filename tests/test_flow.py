@@ -1,3 +1,5 @@
+import subprocess
+import sys
 import threading
 import time
 
@@ -217,3 +219,21 @@ def test_global_conf(spark, tmp_path):
             api.register_global_conf({"no_such": 1})
     finally:
         GLOBAL.clear()
+
+
+def test_a_process_ends_with_results_alive(tmp_path):
+    """Nothing that the end of the interpreter runs waits for a JVM that has gone."""
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / "warehouse")!r}).getOrCreate()
+from lamina.plans.flow import Flow
+flow = Flow(checkpoint_path={str(tmp_path)!r}, auto_persist=True)
+a = flow.df([[1]], "a:int").strong_checkpoint("table")
+a.assert_eq(a.strong_checkpoint())
+held = flow.run(spark)
+frame = a.compute(spark)
+print(frame.count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=90)
+    assert done.stdout.strip() == "1", done.stderr[-2000:]
+    assert not list((tmp_path / "warehouse").rglob("*.parquet"))
