@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from lamina.llm import html
@@ -145,3 +146,94 @@ def test_against_a_brute_force_template(spark):
     for partitions in (1, 7, 50):
         got = {r.page_id: r for r in html.extract(df.repartition(partitions)).collect()}
         assert {i: r.text for i, r in got.items()} == want and all(r.by_template for r in got.values())
+
+
+def test_counts_come_from_all_pages(spark):
+    """A box is template where at least 0.8 of all the host's distinct pages hold it, and text where fewer do."""
+    rng, rows, want = random.Random(7), [], {}
+    words = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n))
+    for holding in range(114, 126):
+        menu, foot, first, second = words(5), words(4), words(6), words(3)
+        for i in rng.sample(range(150), 150):
+            body, key = [words(rng.randint(30, 60)) for _ in range(3)], len(rows)
+            box = f"<div class=box><p>{first}</p><p>{second}</p></div>" if i < holding else ""
+            inner = f"<h2>{body[0]} !</h2>{''.join(f'<p>{b}</p>' for b in body)}{box}"
+            page = f"<html><body><div class=q>{menu}</div><div class=zz>{inner}</div><div class=end>{foot}</div></body></html>"
+            want[key] = "\n".join([f"{body[0]} !", *body, *([first, second] if box and holding < 120 else [])])
+            rows += [(key + c, f"http://h{holding}.example.com/{i}", page) for c in range(1 + (i % 50 == 0))]
+            want |= {key + c: want[key] for c in range(1 + (i % 50 == 0))}
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def odd_host(rng, n):
+    """Pages whose parts repeat, come in two orders, wander between gaps, sit on shares about 0.8, or quote one another."""
+    parts = [f"<div class=part{c}><b>{c} one</b><p>{c} two</p><p>{c} three</p></div>" for c in "abcdefg"]
+    shares, kind, quoted = [rng.choice([0.7, 0.8, 0.9, 1, 1]) for _ in parts], [rng.choice("fffwrt") for _ in parts], f"quoted {rng.random()}"
+    out = []
+    for i in range(n):
+        there = [(k, p) for k, p, s in zip(kind, parts, shares, strict=True) if rng.random() < s]
+        fixed = [p * (rng.randint(1, 3) if k == "r" else 1) for k, p in there if k != "w"]
+        for k, p in there:
+            if k == "w":
+                for _ in range(2):
+                    fixed.insert(rng.randint(0, len(fixed)), p)
+            elif k == "t" and rng.random() < 0.5:
+                fixed[-1] = fixed[-1].replace("two", "tmp").replace("three", "two").replace("tmp", "three")
+        inside = "".join(f"<p>{quoted if rng.random() < 0.2 else rng.random()}</p>" for _ in range(rng.randint(0, 3)))
+        wrap = rng.choice(["article", "article", "div class=body"])
+        at = rng.randint(0, len(fixed))
+        body = f"<{wrap}><h1>T {i % 9}</h1>{inside}{rng.choice(parts) if rng.random() < 0.9 else ''}</{wrap.split()[0]}>"
+        out.append(f"<html><body>{''.join(fixed[:at])}{body}{''.join(fixed[at:])}</body></html>")
+    return out
+
+
+def test_tables_give_what_memory_gives(spark):
+    """Templates and regions of a table are those of deduce and region for all distinct pages of a host."""
+    rng = random.Random(11)
+    rows = [(h, p) for h in range(40) for p in odd_host(rng, rng.choice([4, 5, 12, 40, 130])) for _ in range(rng.choice([1, 1, 1, 3]))]
+    df = spark.createDataFrame(rows, "site long, html string").selectExpr("site", "xxhash64(html) AS digest", "html")
+    pages = defaultdict(dict)
+    for r in df.collect():
+        pages[r.site][r.digest] = r.html
+    want = {}
+    for site, by_digest in pages.items():
+        parsed = [parse(by_digest[d]) for d in sorted(by_digest)]
+        if found := deduce(parsed):
+            want[site] = {html._digest(k) for k in found}, html.region(parsed, found)
+    assert 20 < len(want) < 40 and len({len(t) for t, _ in want.values()}) > 5
+    for partitions in (1, 9):
+        got = {r.site: (set(html._cut(bytes(r.template))), r.region or "") for r in html.templates(df.repartition(partitions)).collect()}
+        assert got == want
+
+
+def test_rejected_classes_take_rounds(spark):
+    """Classes that lie in several gaps of those before them go one after the other, as in memory."""
+    part = lambda c: f"<div class={c}><b>{c} 1</b><p>{c} 2</p><p>{c} 3</p></div>"
+    rows = [(1, f"<html><body>{part('a')}{part('x') * 2}{part('y') * 2}{part('b')}{part('x') * 2}{part('y') * 2}<p>{i}</p></body></html>") for i in range(12)]
+    parsed = [parse(p) for _, p in rows]
+    assert not {k for k in deduce(parsed) if not k[0] and k[1][0] in "xy"} and {k for k in deduce(parsed) if k[1] == "a 2"}
+    df = spark.createDataFrame(rows, "site long, html string").selectExpr("site", "xxhash64(html) AS digest", "html")
+    got = html.templates(df).collect()
+    assert {t for r in got for t in html._cut(bytes(r.template))} == {html._digest(k) for k in deduce(parsed)}
+
+
+def test_part_sums(monkeypatch):
+    """Vectors given out in parts add up to those given out at once."""
+    rng, pages = random.Random(5), []
+    for site in range(3):
+        pages += [(site, i, p) for i, p in enumerate(odd_host(rng, 20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pages, strict=True)], names=["site", "digest", "html"])
+
+    def vectors():
+        out, parts = defaultdict(lambda: [0, 0, 0, 0]), list(html._tally(iter([batch])))
+        for part in parts:
+            for site, a, b, n, total, x, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                v = out[site, a, b]
+                out[site, a, b] = [v[0] + n, v[1] + total, v[2] ^ x, v[3] ^ y]
+        return dict(out), len(parts)
+
+    once, one = vectors()
+    monkeypatch.setattr(html, "HELD", 1)
+    again, many = vectors()
+    assert again == once and (one, many) == (1, 60)
