@@ -137,6 +137,32 @@ def test_recall_with_production_parameters(spark, sf):
     assert total and hits / total >= 0.9
 
 
+def other_rows(kind):
+    """Vectors of several shapes, in the order of their ids."""
+    rng = np.random.default_rng(21)
+    if kind == "few":  # no structure, and lists of a few vectors each
+        return rng.normal(size=(120, 64))
+    if kind == "families":  # more of them than lists, each of more vectors than are measured at first, nearer than codes tell
+        return (rng.normal(size=(150, 16))[:, None] + 1e-3 * rng.normal(size=(150, 80, 16))).reshape(-1, 16)[rng.permutation(12000)]
+    if kind == "far":  # lengths of many scales, all beside one far point
+        return 50 + rng.normal(size=(3000, 16)) * np.exp(3 * rng.normal(size=(3000, 1)))
+    return rng.integers(0, 2, size=(2000, 12)).astype(float)  # ties
+
+
+@pytest.mark.parametrize("kind", ["few", "families", "far", "ties"])
+def test_other_rows_lose_no_neighbour(spark, kind):
+    x = other_rows(kind).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    x, part = x.astype(np.float64), (x != 0).any(axis=1)
+    got = defaultdict(list)
+    for r in sorted(search(df, queries(df)).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, len(x), 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q], far[~part] = np.inf, np.inf
+        assert got[q] == [(i, far[i]) for i in np.lexsort((np.arange(len(x)), far))[:10]] if part[q] else q not in got
+
+
 def test_codes_choose_what_is_measured():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 16))
